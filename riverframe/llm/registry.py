@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pieces, token_counts
+from . import exact_dedup, jaccard_join, mixing, pieces, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": token_counts.op2_token_counts,
+        "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op10_mixing": mixing.op10_mixing,
