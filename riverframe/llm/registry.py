@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, mixing, pieces, suffix_dedup, token_counts
+from . import exact_dedup, jaccard_join, mixing, pieces, quality, suffix_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+        "op4_quality_rules": quality.op4_quality_rules,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_sentencepiece": pieces.op8_sentencepiece,
