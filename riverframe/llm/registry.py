@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, mixing, pieces, quality, suffix_dedup, token_counts
+from . import exact_dedup, jaccard_join, mixing, pieces, quality, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_quality_rules": quality.op4_quality_rules,
