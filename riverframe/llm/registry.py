@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, mixing, pieces, quality, suffix_dedup, token_counts, toxicity
+from . import exact_dedup, jaccard_join, line_dedup, mixing, pieces, quality, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_sentencepiece": pieces.op8_sentencepiece,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
+    return {"op5_line_dedup": line_dedup.SQL, "op7_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
