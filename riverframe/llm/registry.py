@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, line_dedup, mixing, pieces, quality, suffix_dedup, token_counts, toxicity
+from . import exact_dedup, jaccard_join, line_dedup, mixing, pieces, quality, suffix_dedup, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_sentencepiece": pieces.op8_sentencepiece,
+        "op9_warc_derivatives": warc.op9_warc_derivatives,
         "op10_mixing": mixing.op10_mixing,
     }
 
