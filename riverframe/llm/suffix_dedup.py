@@ -189,7 +189,7 @@ def settle(key: np.ndarray, around: np.ndarray, ids: np.ndarray, at: np.ndarray,
 
 
 def send_strings(length: int, buckets: int) -> Callable:
-    """(id, data, keys) -> rows for buckets (bucket, ids, keys, at, around), or stretches settled here (bucket null)."""
+    """(id, data, keys) -> rows for buckets (bucket, ids, keys, at, around), or stretches settled here (bucket below 0)."""
     half = length // 2
     side = length - half
 
@@ -212,7 +212,8 @@ def send_strings(length: int, buckets: int) -> Callable:
             around = np.ascontiguousarray(around).view(f"S{half + 2 * side + 2}").ravel()
             gone, starts, ends, keep = settle(full, around, ids, at, length)
             full, around, ids, at = full[keep], around[keep], ids[keep], at[keep]
-            out = {"bucket": [None], "ids": [gone.tobytes()], "keys": [None], "at": [starts.tobytes()], "around": [ends.tobytes()]}
+            settled = -1 - int(rows[0][0]) % buckets
+            out = {"bucket": [settled], "ids": [gone.tobytes()], "keys": [b""], "at": [starts.tobytes()], "around": [ends.tobytes()]}
             bucket = full & 0xFFFFFF
             order = np.lexsort((full, bucket))
             full, around, ids, at, bucket = full[order], around[order], ids[order], at[order], bucket[order]
@@ -230,10 +231,10 @@ def settle_bucket(length: int) -> Callable:
 
     def run(part: pa.Table) -> pa.Table:
         def column(name: str, kind: str) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in part[name] if x.is_valid])
+            return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in part[name]])
 
         ids, at = column("ids", "i8"), column("at", "i8")
-        if part["bucket"][0].as_py() is None:
+        if part["bucket"][0].as_py() < 0:
             starts, ends = at, column("around", "i8")
         else:
             ids, starts, ends, _ = settle(column("keys", "i8"), column("around", f"S{width}"), ids, at, length)
@@ -242,13 +243,6 @@ def settle_bucket(length: int) -> Callable:
     return run
 
 
-def passed_on(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches that tasks settled by themselves -> (id, start, stop)."""
-    for batch in part:
-        for ids, starts, ends in zip(batch.column(0), batch.column(1), batch.column(2)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in (ids, starts, ends)], ["id", "start", "stop"])
-
-
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, data, whole, starts, stops) -> (id, n_bytes, n_removed, n_spans, kept_sha256, kept)."""
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -278,15 +272,13 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     total = first.agg(F.sum("n")).first()[0] or 0
     # About 16k anchors a bucket, and at most 2^20 buckets, each of them then of about a millionth of all anchors.
     buckets = int(min(1 << 20, max(64, total * 2 // length // 16384)))
-    rows = rows.repartition("id")
+    # The joins below all deal the texts by id, in one job: Spark shuffles them once and reuses that.
     own = rows.join(first.select("id"), "id", "left_semi")
     sent = own.mapInArrow(send_ranks(length, buckets), "bucket bigint, local boolean, ids binary, keys binary")
     shared = sent.groupBy("bucket").applyInArrow(shared_ranks, "id bigint, key bigint").groupBy("id").agg(F.collect_set("key").alias("keys"))
     strings = own.join(shared, "id").mapInArrow(send_strings(length, buckets), "bucket bigint, ids binary, keys binary, at binary, around binary")
-    strings = table(strings, "strings")
-    settled = strings.filter("bucket is not null").groupBy("bucket").applyInArrow(settle_bucket(length), "id bigint, start bigint, stop bigint")
-    early = strings.filter("bucket is null").select("ids", "at", "around").mapInArrow(passed_on, "id bigint, start bigint, stop bigint")
-    gone = settled.union(early).groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    settled = strings.groupBy("bucket").applyInArrow(settle_bucket(length), "id bigint, start bigint, stop bigint")
+    gone = settled.groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     marked = rows.join(first.select("id", F.lit(True).alias("first")), "id", "left").join(gone, "id", "left")
     whole = F.col("first").isNull() & (F.octet_length("data") >= length)
     cut = marked.select("id", "data", whole.alias("whole"), "starts", "stops").mapInArrow(remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
