@@ -192,7 +192,7 @@ def quantile(dist: str, t: Column, m: dict[str, Column]) -> Column:
     if dist == "logpearson3":
         return F.pow(F.lit(10.0), m["mean_log"] + k_pearson(m["skew_log"], p) * m["std_log"])
     if dist == "gumbel":
-        yn, sn = m.get("yn", gumbel_yn(m["n"])), m.get("sn", gumbel_sn(m["n"]))
+        yn, sn = (m["yn"], m["sn"]) if "yn" in m else (gumbel_yn(m["n"]), gumbel_sn(m["n"]))
         return m["mean"] + m["std"] * (-F.log(-F.log(p)) - yn) / sn
     if dist == "gamma":
         return m["std"] * m["std"] / m["mean"] * gamma_inv(F.pow(m["mean"] / m["std"], F.lit(2.0)), p)

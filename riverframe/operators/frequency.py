@@ -78,19 +78,19 @@ def chi_square(series: DataFrame, fits: DataFrame, keys: Sequence[str], dists: S
     quantile, as arrays: one row per series and distribution, no row per knot."""
     n = F.col("n")
     bins = F.greatest(F.lit(5), F.least(F.lit(20), F.floor(F.lit(1.5) + F.lit(3.322) * F.log10(n.cast("double"))))).cast("int")
-    sized = fits.withColumns({"k": bins}).withColumn("w", (F.col("max") - F.col("min")) / F.col("k"))
-    bin_of = F.least(F.col("k") - 1, F.when(F.col("w") > 0, F.floor((F.col(value) - F.col("min")) / F.when(F.col("w") > 0, F.col("w")))).otherwise(F.col("k") - 1)).cast("int")
-    edge = lambda i: F.col("min") + F.col("w") * i
-    placed = series.select(*keys, value).join(sized.select(*keys, "k", "w", "min", "max"), list(keys)).withColumn("guess", bin_of)
+    sized = fits.withColumns({"__k": bins}).withColumn("__w", (F.col("max") - F.col("min")) / F.col("__k"))
+    bin_of = F.least(F.col("__k") - 1, F.when(F.col("__w") > 0, F.floor((F.col(value) - F.col("min")) / F.when(F.col("__w") > 0, F.col("__w")))).otherwise(F.col("__k") - 1)).cast("int")
+    edge = lambda i: F.col("min") + F.col("__w") * i
+    placed = series.select(*keys, value).join(sized.select(*keys, "__k", "__w", "min", "max"), list(keys)).withColumn("guess", bin_of)
     # Rounding in the division must not move a value that lies on an edge.
     i = F.col("guess")
-    exact = F.when(F.col(value) < edge(i), i - 1).when((i < F.col("k") - 1) & (F.col(value) >= edge(i + 1)), i + 1).otherwise(i)
+    exact = F.when(F.col(value) < edge(i), i - 1).when((i < F.col("__k") - 1) & (F.col(value) >= edge(i + 1)), i + 1).otherwise(i)
     counts = placed.groupBy(*keys, exact.alias("bin")).agg(F.count(F.lit(1)).alias("obs")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "obs"))).alias("obs"))
     periods = [1.0001]
     while periods[-1] * 1.15 <= 100_000:
         periods.append(periods[-1] * 1.15)
-    knots = sized.withColumn("t", F.explode(F.array(*map(F.lit, periods)))).select(*keys, "k", "w", "min", "max", "n", "t", F.explode(quantile_columns(F.col("t"), dists)).alias("f"))
-    tables = knots.groupBy(*keys, "k", "w", "min", "max", "n", F.col("f.dist").alias("dist")).agg(F.sort_array(F.collect_list(F.struct(F.col("f.q").alias("x"), (1 - 1 / F.col("t")).alias("p")))).alias("cdf"))
+    knots = sized.withColumn("t", F.explode(F.array(*map(F.lit, periods)))).select(*keys, "__k", "__w", "min", "max", "n", "t", F.explode(quantile_columns(F.col("t"), dists)).alias("f"))
+    tables = knots.groupBy(*keys, "__k", "__w", "min", "max", "n", F.col("f.dist").alias("dist")).agg(F.sort_array(F.collect_list(F.struct(F.col("f.q").alias("x"), (1 - 1 / F.col("t")).alias("p")))).alias("cdf"))
 
     def cdf(x: Column) -> Column:
         c = F.col("cdf")
@@ -98,15 +98,15 @@ def chi_square(series: DataFrame, fits: DataFrame, keys: Sequence[str], dists: S
         a, b = F.get(c, j - 1), F.get(c, j)
         return F.when(j == 0, F.greatest(F.lit(0.0), F.get(c, F.lit(0))["p"] * 0.5)).when(j >= F.size(c), F.get(c, F.size(c) - 1)["p"]).otherwise(a["p"] + (x - a["x"]) / F.when(b["x"] == a["x"], F.lit(1e-9)).otherwise(b["x"] - a["x"]) * (b["p"] - a["p"]))
 
-    rows = tables.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).join(counts, list(keys))
-    upper = F.when(F.col("bin") == F.col("k") - 1, F.col("max") + 1e-9).otherwise(edge(F.col("bin") + 1))
+    rows = tables.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("__k") - 1))).join(counts, list(keys))
+    upper = F.when(F.col("bin") == F.col("__k") - 1, F.col("max") + 1e-9).otherwise(edge(F.col("bin") + 1))
     rows = rows.withColumn("esp", F.col("n") * (cdf(upper) - cdf(edge(F.col("bin"))))).withColumn("o", F.coalesce(F.element_at("obs", F.col("bin")), F.lit(0)))
     x2 = F.sum(F.when(F.col("esp") > 0, F.pow(F.col("o") - F.col("esp"), F.lit(2.0)) / F.when(F.col("esp") > 0, F.col("esp"))).otherwise(0.0))
     used = F.when(F.lit(False), F.lit(0))
     for d, count in PARAMETERS.items():
         used = used.when(F.col("dist") == d, count)
-    out = rows.groupBy(*keys, "dist", "k").agg(x2.alias("x2")).withColumn("df", F.greatest(F.lit(1), F.col("k") - 1 - used).cast("int"))
-    return out.withColumn("critical", stats.chi2_critical(F.col("df"))).withColumn("accepted", F.col("x2") <= F.col("critical"))
+    out = rows.groupBy(*keys, "dist", "__k").agg(x2.alias("x2")).withColumn("df", F.greatest(F.lit(1), F.col("__k") - 1 - used).cast("int"))
+    return out.withColumn("critical", stats.chi2_critical(F.col("df"))).withColumn("accepted", F.col("x2") <= F.col("critical")).withColumnRenamed("__k", "bins")
 
 
 def best(tests: DataFrame, keys: Sequence[str]) -> DataFrame:
