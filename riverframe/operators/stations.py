@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..tables import cut
 
 #: Most points whose table may be broadcast to the stations; more are joined by grid cells.
 POINTS_MOST = 1_000_000
@@ -105,18 +106,8 @@ def upstream(basins: DataFrame, start: DataFrame, node: str = "id", down: str =
     tree = basins.select(F.col(node).alias("up"), F.col(down).alias("down")).filter("down is not null").distinct()
     seen = level = start.select(F.col(node).alias("root"), F.col(node).alias("id")).distinct()
     for _ in range(rounds):
-        level = _cut(level.join(tree, F.col("down") == F.col("id")).filter("up <> root").select("root", F.col("up").alias("id")))
+        level = cut(level.join(tree, F.col("down") == F.col("id")).filter("up <> root").select("root", F.col("up").alias("id")))
         if level.isEmpty():
             break
         seen = seen.union(level)
     return seen
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names."""
-    import tempfile
-
-    spark = df.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riverframe-"))
-    return df.checkpoint()

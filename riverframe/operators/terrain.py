@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stations import _cut
+from ..tables import cut
 
 # The eight neighbours in the order in which ties are broken (drow, dcol).
 N8 = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
@@ -87,7 +87,7 @@ def accumulate(directions: DataFrame, keys: Sequence[str] = (), rounds: int = 40
         acc = acc.join(sent, cell, "left").select(*cell, (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"))
         far = jump.select(*keys, F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("r2"), F.col("to_col").alias("c2"))
         jump = jump.join(far, [*keys, "to_row", "to_col"]).select(*cell, F.col("r2").alias("to_row"), F.col("c2").alias("to_col"))
-        acc, jump = _cut(acc), _cut(jump)
+        acc, jump = cut(acc), cut(jump)
     return acc
 
 
@@ -100,7 +100,7 @@ def watershed(directions: DataFrame, outlets: DataFrame, keys: Sequence[str] = (
     at = marked.select(*cell, F.when(F.col("outlet").isNull(), F.col("to_row")).alias("to_row"), F.when(F.col("outlet").isNull(), F.col("to_col")).alias("to_col"), "outlet")
     for _ in range(rounds):
         step = at.select(*keys, F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("r2"), F.col("to_col").alias("c2"), F.col("outlet").alias("o2"))
-        at = _cut(at.join(step, [*keys, "to_row", "to_col"], "left").select(*cell, F.col("r2").alias("to_row"), F.col("c2").alias("to_col"), F.coalesce("outlet", "o2").alias("outlet")))
+        at = cut(at.join(step, [*keys, "to_row", "to_col"], "left").select(*cell, F.col("r2").alias("to_row"), F.col("c2").alias("to_col"), F.coalesce("outlet", "o2").alias("outlet")))
         if at.filter("to_row is not null").isEmpty():
             break
     return at.filter("outlet is not null").select(*cell, "outlet")
