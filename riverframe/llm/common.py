@@ -18,13 +18,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="riverframe-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    if path := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return path
+    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="riverframe-"))
 
 
 def table(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -32,7 +33,17 @@ def table(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.riverframe_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of table() results that no later step reads: call it once what came of them is written itself."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.riverframe_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:

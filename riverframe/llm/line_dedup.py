@@ -1,4 +1,4 @@
-"""Line dedup by an exact set-similarity join, in DataFrame functions only.
+"""Line dedup by an exact set-similarity join.
 
 A line's tokens are its distinct 5-word shingles after lower-casing (a shorter line is one token); lines
 of fewer than `min_words` words are left alone. A line goes when a line of an earlier (id, position) has
@@ -21,53 +21,131 @@ columns pass through dedup_lines() untouched.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, table
-from .quality import let, word_array
+from .common import documents, drop, table
+from .shingles import mix, summed, word_hashes
 
 WORDS, NUM, DEN, MIN_WORDS = 5, 80, 100, 3
 BUCKET_BITS, LOW_BITS = 14, 49
-#: So many lines may be broadcast to pick their texts for verification; more are joined by a shuffle.
-BROADCAST_MOST = 500_000
+#: So many lines (8 MB) may be broadcast to meet their texts; more are joined by a shuffle.
+BROADCAST_MOST = 1_000_000
+
+
+def tokens_of(texts: list[str | None], k: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of many texts at once: (text number, line number, number of tokens) of each line that takes part, and all their tokens' 63-bit hashes, line by line, repeats included."""
+    low = [(t or "").lower().encode() for t in texts]
+    data = np.frombuffer(b"\n".join(low), np.uint8)
+    ends = np.append(np.flatnonzero(data == 10), len(data))
+    bounds = np.concatenate(([0], ends))
+    hashes, counts = word_hashes(data, bounds)
+    lengths = np.array([len(x) + 1 for x in low])
+    first = np.cumsum(lengths) - lengths
+    owner = np.searchsorted(first, bounds[:-1] + (np.arange(len(ends)) > 0), "right") - 1
+    number = np.arange(len(ends)) - np.searchsorted(bounds[1:-1] + 1, first, "right")[owner]
+    starts = np.cumsum(counts) - counts
+    rolled = np.zeros(max(0, len(hashes) - k + 1), np.uint64)
+    for j in range(k):
+        rolled = mix(rolled + hashes[j : j + len(rolled)] * np.uint64(2 * j + 1) + np.uint64(k))
+    use = np.flatnonzero(counts >= min_words)
+    sizes = np.maximum(counts[use] - k + 1, 1)
+    at = np.repeat(starts[use] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    long_ = np.repeat(counts[use] >= k, sizes)
+    tokens = np.zeros(len(at), np.uint64)
+    tokens[long_] = rolled[at[long_]]
+    for n in range(1, k):  # lines of fewer words are one token
+        short = np.flatnonzero(~long_)[counts[use][counts[use] < k] == n]
+        acc = np.zeros(len(short), np.uint64)
+        for j in range(n):
+            acc = mix(acc + hashes[at[short] + j] + np.uint64(n))
+        tokens[short] = acc
+    return owner[use], number[use], sizes, tokens >> np.uint64(1)
+
+
+def texts(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[list[tuple]]:
+    """Rows of batches as lists of about `size` characters."""
+    rows, total = [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            rows.append(row)
+            total += len(row[1] or "")
+            if total >= size:
+                yield rows
+                rows, total = [], 0
+    if rows:
+        yield rows
+
+
+def ranks(docs: DataFrame, min_words: int) -> list[int]:
+    """From (doc, text): rank of each bucket of tokens by how many tokens it holds, rare first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << BUCKET_BITS, np.int64)
+        for rows in texts(batches):
+            tokens = tokens_of([t for _, t in rows], WORDS, min_words)[3]
+            n += np.bincount((tokens >> np.uint64(LOW_BITS)).astype(np.int64), minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["b", "n"])
+
+    found = docs.mapInArrow(run, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).collect()
+    out = [0] * (1 << BUCKET_BITS)
+    for rank, r in enumerate(sorted(found, key=lambda r: (r.n, r.b))):
+        out[r.b] = rank
+    return out
 
 
-def shingles(words: Column, k: int = WORDS) -> Column:
-    """63-bit hashes of a line's k-word shingles, in order, repeats included."""
-    mask = F.lit((1 << 63) - 1)
+def token_sets(numbers: list[str | None], rank: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, line number, size, tokens) of each line's distinct tokens as numbers, rare first."""
+    owner, number, sizes, tokens = tokens_of(numbers, WORDS, min_words)
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    tokens = (rank[(tokens >> np.uint64(LOW_BITS)).astype(np.int64)] << np.uint64(LOW_BITS)) | (tokens & np.uint64((1 << LOW_BITS) - 1))
+    order = np.lexsort((tokens, line))
+    line, tokens = line[order], tokens[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (tokens[1:] != tokens[:-1])
+    line, tokens = line[new], tokens[new]
+    return owner, number, np.bincount(line, minlength=len(sizes)), tokens
 
-    def of(h: Column) -> Column:
-        length = F.greatest(F.size(h) - (k - 1), F.lit(0))
-        zipped = F.arrays_zip(*[F.slice(h, 1 + j, length).alias(f"h{j}") for j in range(k)])
-        return F.when(F.size(h) < k, F.array(F.xxhash64(h).bitwiseAND(mask))).otherwise(F.transform(zipped, lambda s: F.xxhash64(s).bitwiseAND(mask)))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), of)
+def signed_lines(docs: DataFrame, rank: list[int], num: int, den: int, min_words: int) -> DataFrame:
+    """From (doc, text): (doc, line, d1, d2, n, prefix), d1 and d2 the digest of a line's token set.
 
+    Prefix tokens are cut to their first 40 bits: chance agreements only add pairs, which are verified."""
+    table_ = np.array(rank, np.uint64)
+    cut = np.uint64(BUCKET_BITS + LOW_BITS - 40)
 
-def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc, line, words) of the lines that take part."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.lower(text_col), "\n")).alias("line", "text"))
-    return rows.select("doc", "line", word_array(F.col("text")).alias("words")).filter(F.size("words") >= min_words)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in texts(batches):
+            owner, number, n, tokens = token_sets([t for _, t in rows], table_, min_words)
+            ids = np.array([i for i, _ in rows], np.int64)
+            d1, d2 = (summed(mix(tokens ^ np.uint64(s)), n).view(np.int64) for s in (0x51ED27, 0xA3C59AC3))
+            length = n - -(-n * num // den) + 1
+            at = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+            prefix = (tokens[at < np.repeat(length, n)] >> cut).astype(np.int64)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(number.astype(np.int32)), pa.array(d1), pa.array(d2), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(prefix))], ["doc", "line", "d1", "d2", "n", "prefix"])
 
+    return docs.mapInArrow(run, "doc bigint, line int, d1 bigint, d2 bigint, n int, prefix array<bigint>")
 
-def ranks(rows: DataFrame) -> list[int]:
-    """Rank of each bucket of tokens by how many tokens it holds, rare first."""
-    found = rows.select(F.explode(shingles(F.col("words"))).alias("t")).groupBy(F.shiftright("t", LOW_BITS).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    n = {r.b: r.n for r in found.collect()}
-    order = sorted(range(1 << BUCKET_BITS), key=lambda b: (n.get(b, 0), b))
-    out = [0] * (1 << BUCKET_BITS)
-    for rank, b in enumerate(order):
-        out[b] = rank
-    return out
 
+def wanted_tokens(rows: DataFrame, rank: list[int], min_words: int) -> DataFrame:
+    """From (doc, text, wanted array<int>): (doc, line, t) of the wanted lines."""
+    table_ = np.array(rank, np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in texts(batches):
+            owner, number, n, tokens = token_sets([t for _, t, _ in part], table_, min_words)
+            wanted = [set(w) for _, _, w in part]
+            use = np.array([m in wanted[o] for o, m in zip(owner.tolist(), number.tolist())], bool)
+            ids = np.array([i for i, _, _ in part], np.int64)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(n[use]))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[use]]), pa.array(number[use].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(tokens[np.repeat(use, n)].astype(np.int64)))], ["doc", "line", "t"])
 
-def tokens(words: Column, rank: list[int]) -> Column:
-    """A line's distinct tokens as numbers, rare first."""
-    literal = F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")
-    low = F.lit((1 << LOW_BITS) - 1)
-    number = lambda t: F.shiftleft(F.get(literal, F.shiftright(t, LOW_BITS).cast("int")), LOW_BITS).bitwiseOR(t.bitwiseAND(low))
-    return F.sort_array(F.transform(F.array_distinct(shingles(words)), number))
+    return rows.mapInArrow(run, "doc bigint, line int, t array<bigint>")
 
 
 def earlier(a: str, b: str) -> Column:
@@ -83,13 +161,10 @@ def possible(num: int, den: int) -> Column:
 
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS) -> DataFrame:
-    """Distinct (doc, line) of the lines to remove."""
-    rows = lines(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, min_words)
-    rank = ranks(rows)
-    n = F.size("t")
-    first_tokens = F.slice("t", 1, n - F.ceil(n * num / den).cast("int") + 1)
-    signed = rows.select("doc", "line", F.explode(F.array(tokens(F.col("words"), rank))).alias("t"))
-    signed = table(signed.select("doc", "line", F.xxhash64("t").alias("d1"), F.xxhash64(F.lit(1), "t").alias("d2"), n.alias("n"), first_tokens.alias("prefix")), "lines")
+    """Distinct (doc, line) of the lines to remove, as a table."""
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
+    rank = ranks(rows, min_words)
+    signed = table(signed_lines(rows, rank, num, den, min_words), "lines")
     groups = signed.groupBy("d1", "d2").agg(F.min(F.struct("doc", "line", "n", "prefix")).alias("first"), F.count(F.lit(1)).alias("copies"))
     # Copies, size and position travel in one number: they matter as a whole to no join.
     packed = (F.least("copies", F.lit(65535)) * (1 << 24) + F.col("n")) * (1 << 23)
@@ -103,31 +178,38 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hub = postings.groupBy("token").agg(F.min(F.struct((-F.col("copies")).alias("k"), *kinds)).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"a_{c}") for c in kinds])
     ends = ["a_doc", "a_line", "b_doc", "b_line"]
     near_hub = table(b.join(hub, "token").filter(earlier("a", "b") & possible(num, den)).select(*ends).distinct(), "pairs")
-    settled = matched(docs, near_hub, rank, id_col, text_col, num, den, min_words)
+    settled = matched(rows, near_hub, rank, num, den, min_words)
     rest = b.join(settled, ["b_doc", "b_line"], "left_anti")
     pairs = table(rest.join(a, "token").filter(earlier("a", "b") & possible(num, den)).select(*ends).distinct().join(near_hub, ends, "left_anti"), "pairs")
-    gone = settled.union(matched(docs, pairs, rank, id_col, text_col, num, den, min_words)).select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line"), F.lit(True).alias("gone"))
+    gone = settled.union(matched(rows, pairs, rank, num, den, min_words)).select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line"), F.lit(True).alias("gone"))
     judged = groups.select("d1", "d2", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "copies").join(gone, ["doc", "line"], "left").filter("gone or copies > 1").select("d1", "d2", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "gone")
     later = F.col("gone").isNotNull() | (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line"))
-    return signed.select("doc", "line", "d1", "d2").join(judged, ["d1", "d2"]).filter(later).select("doc", "line").distinct()
+    out = table(signed.select("doc", "line", "d1", "d2").join(judged, ["d1", "d2"]).filter(later).select("doc", "line").distinct(), "gone")
+    drop(signed, postings, near_hub, pairs)
+    return out
 
 
-def matched(docs: DataFrame, pairs: DataFrame, rank: list[int], id_col: str, text_col: str, num: int, den: int, min_words: int) -> DataFrame:
+def matched(rows: DataFrame, pairs: DataFrame, rank: list[int], num: int, den: int, min_words: int) -> DataFrame:
     """Distinct (b_doc, b_line) of the pairs whose whole token sets are similar."""
     wanted = table(pairs.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).union(pairs.select("b_doc", "b_line")).distinct(), "wanted")
-    small = wanted.count() <= BROADCAST_MOST
-    holders = wanted.select("doc").distinct()
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(holders) if small else holders, "doc", "left_semi")
-    found = lines(texts, "doc", "text", min_words).join(F.broadcast(wanted) if small else wanted, ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"])
-    found = table(found.select("doc", "line", tokens(F.col("words"), rank).alias("t")), "tokens")
+    holders = wanted.groupBy("doc").agg(F.collect_set("line").alias("wanted"))
+    if wanted.count() <= BROADCAST_MOST:
+        holders = F.broadcast(holders)
+    texts_ = rows.join(holders, "doc").dropDuplicates(["doc"]).select("doc", "text", "wanted")
+    found = table(wanted_tokens(texts_, rank, min_words), "tokens")
     a, b = (found.select(F.col("doc").alias(f"{x}_doc"), F.col("line").alias(f"{x}_line"), F.col("t").alias(f"{x}_t")) for x in "ab")
     inter, both = F.size(F.array_intersect("a_t", "b_t")), F.size("a_t") + F.size("b_t")
-    return table(pairs.join(a, ["a_doc", "a_line"]).join(b, ["b_doc", "b_line"]).filter(inter * (den + num) >= both * num).select("b_doc", "b_line").distinct(), "matched")
+    out = table(pairs.join(a, ["a_doc", "a_line"]).join(b, ["b_doc", "b_line"]).filter(inter * (den + num) >= both * num).select("b_doc", "b_line").distinct(), "matched")
+    drop(wanted, found)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, **options) -> DataFrame:
     """docs with later matches taken out of the text; with counts also n_lines and n_removed."""
-    gone = later_matches(docs, id_col, text_col, **options).groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__gone"))
+    found = later_matches(docs, id_col, text_col, **options)
+    gone = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__gone"))
+    if found.count() <= BROADCAST_MOST:
+        gone = F.broadcast(gone)
     joined = docs.join(gone, docs[id_col] == F.col("__doc"), "left")
     split = F.split(F.col(text_col), "\n")
     kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
