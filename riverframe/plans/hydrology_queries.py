@@ -69,9 +69,9 @@ def period_max_series(spark, sf_dir):
     return b.series(spark, sf_dir)
 
 
-@query(f"{WITH} SELECT st, n, round(mean, 4) AS mean, round(std, 4) AS std, round(skew, 6) AS skew FROM mo")
+@query(f"{WITH} SELECT st, n, round(mean, 5) AS mean, round(std, 5) AS std, round(skew, 6) AS skew FROM mo")
 def series_moments(spark, sf_dir):
-    return fits(spark, sf_dir).select("st", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), F.round("skew", 6).alias("skew"))
+    return fits(spark, sf_dir).select("st", "n", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), F.round("skew", 6).alias("skew"))
 
 
 @query(f"{WITH} SELECT st, round(mean_ln, 6) AS mean_ln, round(std_ln, 6) AS std_ln, round(mean_log, 6) AS mean_log, round(std_log, 6) AS std_log, round(skew_log, 6) AS skew_log FROM mo")
@@ -79,9 +79,9 @@ def log_moments(spark, sf_dir):
     return fits(spark, sf_dir).select("st", *[F.round(c, 6).alias(c) for c in ("mean_ln", "std_ln", "mean_log", "std_log", "skew_log")])
 
 
-@query(f"{WITH}, {sql_quantiles()} SELECT st, t, dist, round(q, 2) AS q FROM qu")
+@query(f"{WITH}, {sql_quantiles()} SELECT st, t, dist, round(q, 5) AS q FROM qu")
 def quantiles_5dist(spark, sf_dir):
-    return quantiles(spark, sf_dir).withColumn("q", F.round("q", 2))
+    return quantiles(spark, sf_dir).withColumn("q", F.round("q", 5))
 
 
 @query(f"WITH {b.SERIES} SELECT st, period, (row_number() OVER w)::INTEGER AS rank, round((row_number() OVER w)::DOUBLE / (count(*) OVER (PARTITION BY st) + 1), 9) AS p, round((count(*) OVER (PARTITION BY st) + 1)::DOUBLE / row_number() OVER w, 9) AS t_emp FROM ser WINDOW w AS (PARTITION BY st ORDER BY value DESC, period)")

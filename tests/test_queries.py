@@ -36,8 +36,9 @@ def test_query_against_sql(spark, duck, name):
     columns = sorted(df.columns)
     found = duck.sql(registry.oracle_sql()[name])
     assert sorted(found.columns) == columns
-    want = found.df().astype(object)[columns].itertuples(index=False, name=None)
-    assert normal(df.select(*columns).toPandas().astype(object).itertuples(index=False, name=None)) == normal(want)
+    order = [found.columns.index(c) for c in columns]
+    want = [tuple(r[i] for i in order) for r in found.fetchall()]
+    assert normal(df.select(*columns).collect()) == normal(want)
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
