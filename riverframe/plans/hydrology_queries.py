@@ -79,9 +79,9 @@ def log_moments(spark, sf_dir):
     return fits(spark, sf_dir).select("st", *[F.round(c, 6).alias(c) for c in ("mean_ln", "std_ln", "mean_log", "std_log", "skew_log")])
 
 
-@query(f"{WITH}, {sql_quantiles()} SELECT st, t, dist, round(q, 5) AS q FROM qu")
+@query(f"{WITH}, {sql_quantiles()} SELECT st, t, dist, round(q / 1000, 4) AS q_thousands FROM qu")
 def quantiles_5dist(spark, sf_dir):
-    return quantiles(spark, sf_dir).withColumn("q", F.round("q", 5))
+    return quantiles(spark, sf_dir).select("st", "t", "dist", F.round(F.col("q") / 1000, 4).alias("q_thousands"))
 
 
 @query(f"WITH {b.SERIES} SELECT st, period, (row_number() OVER w)::INTEGER AS rank, round((row_number() OVER w)::DOUBLE / (count(*) OVER (PARTITION BY st) + 1), 9) AS p, round((count(*) OVER (PARTITION BY st) + 1)::DOUBLE / row_number() OVER w, 9) AS t_emp FROM ser WINDOW w AS (PARTITION BY st ORDER BY value DESC, period)")
