@@ -26,11 +26,11 @@ def curve(x: Column, knots: Column, x_name: str = "x", y_name: str = "y", after:
     """y at x over an array of structs sorted by x. before the first knot: its y; after the last: hold it, "zero" or "extend"."""
     below = F.filter(knots, lambda k: k[x_name] <= x)
     above = F.filter(knots, lambda k: k[x_name] > x)
-    a, b = F.element_at(below, -1), F.element_at(above, 1)
-    last = F.element_at(knots, -1)
+    a, b = F.try_element_at(below, F.lit(-1)), F.try_element_at(above, F.lit(1))
+    last = F.try_element_at(knots, F.lit(-1))
     end = {"hold": last[y_name], "zero": F.when(x == last[x_name], last[y_name]).otherwise(F.lit(0.0))}.get(after)
     if after == "extend":
-        prior = F.element_at(knots, -2)
+        prior = F.try_element_at(knots, F.lit(-2))
         end = last[y_name] + (x - last[x_name]) * (last[y_name] - prior[y_name]) / (last[x_name] - prior[x_name])
     inside = a[y_name] + (x - a[x_name]) / (b[x_name] - a[x_name]) * (b[y_name] - a[y_name])
-    return F.when(F.size(below) == 0, F.element_at(knots, 1)[y_name]).when(F.size(above) == 0, end).otherwise(inside)
+    return F.when(F.size(below) == 0, F.try_element_at(knots, F.lit(1))[y_name]).when(F.size(above) == 0, end).otherwise(inside)
