@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
+#: Rows that go back to Spark at a time, which bounds what a task holds besides its table.
+ROWS = 256
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -30,7 +32,7 @@ CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 class ChunkTable:
     """Ids of distinct chunks; it starts anew when it holds `most` chunks."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         import sentencepiece
 
         self.sp, self.most = sentencepiece.SentencePieceProcessor(model_file=path), most
@@ -81,7 +83,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(model)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             n, shas, decoded_shas, ids, decoded = [], [], [], [], []
             for text in batch.column(1):
                 code = table.encode(text.as_py())
