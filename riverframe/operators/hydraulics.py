@@ -6,10 +6,11 @@ through time runs per reach or scenario as a numpy kernel, so the work spreads o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,108 +40,159 @@ def transport_gradient(sections: DataFrame, keys: Sequence[str], order: str, spa
     return rows.withColumn("tendency", F.when(F.col("grad") > 1e-6, "erosion").when(F.col("grad") < -1e-6, "deposition").otherwise("balance"))
 
 
-# --- kernels on one section ---------------------------------------------------------------------------------
+# --- kernels on sections: one, or many at once as rows of padded arrays ---------------------------------------
 
 
-def wetted(s: np.ndarray, z: np.ndarray, level: float) -> tuple[float, float, float, float]:
-    """(area, perimeter, width, hydrostatic moment) of a profile below a level."""
-    a, c, ds = level - z[:-1], level - z[1:], np.diff(s)
+def wetted(s: np.ndarray, z: np.ndarray, level) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(area, perimeter, width, hydrostatic moment) of profiles (last axis: points) below their levels. A repeated last point adds nothing."""
+    level = np.asarray(level)[..., None]
+    a, c, ds = level - z[..., :-1], level - z[..., 1:], np.diff(s)
     both, none = (a > 0) & (c > 0), (a <= 0) & (c <= 0)
     with np.errstate(all="ignore"):
         wet = np.where(both, ds, np.where(none, 0.0, ds * np.maximum(a, c) / np.abs(a - c)))
     ha, hc = np.maximum(a, 0), np.maximum(c, 0)
     side = np.where(none, 0.0, np.hypot(wet, ha - hc))
     moment = wet * (ha * ha + ha * hc + hc * hc) / 6
-    return float(((ha + hc) / 2 * wet).sum()), float(side.sum()), float(wet.sum()), float(moment.sum())
+    return ((ha + hc) / 2 * wet).sum(-1), side.sum(-1), wet.sum(-1), moment.sum(-1)
 
 
-def root(f, lo: float, hi: float, steps: int = 80) -> float:
-    """Bisection on an increasing f."""
+def root(f, lo, hi, steps: int = 80):
+    """Bisection on an increasing f, for all rows at once."""
     for _ in range(steps):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
+        small = f(mid) < 0
+        lo, hi = np.where(small, mid, lo), np.where(small, hi, mid)
     return (lo + hi) / 2
 
 
-def manning_flow(s: np.ndarray, z: np.ndarray, level: float, n: float, slope: float) -> float:
+def manning_flow(s: np.ndarray, z: np.ndarray, level, n: float, slope: float):
     a, p, _, _ = wetted(s, z, level)
-    return a * (a / p) ** (2 / 3) * np.sqrt(slope) / n if a > 0 and p > 0 else 0.0
+    with np.errstate(all="ignore"):
+        return np.where((a > 0) & (p > 0), a * (a / p) ** (2 / 3) * np.sqrt(slope) / n, 0.0)[()]
 
 
-def normal_level(s, z, flow: float, n: float, slope: float) -> float:
-    top = z.min() + 1.0
+def normal_level(s, z, flow: float, n: float, slope: float):
+    low = z.min(-1)
+    top = low + 1.0
     for _ in range(40):
-        if manning_flow(s, z, top, n, slope) >= flow:
+        short = manning_flow(s, z, top, n, slope) < flow
+        if not short.any():
             break
-        top += top - z.min()
-    return root(lambda w: manning_flow(s, z, w, n, slope) - flow, z.min(), top)
+        top = np.where(short, top + (top - low), top)
+    return root(lambda w: manning_flow(s, z, w, n, slope) - flow, low, top)
 
 
-def critical_level(s, z, flow: float) -> float:
-    def f(w: float) -> float:
+def critical_level(s, z, flow: float):
+    def f(w):
         a, _, b, _ = wetted(s, z, w)
-        return -(flow * flow * b / (G * a**3) - 1) if a > 1e-9 else -1e9
+        with np.errstate(all="ignore"):
+            return np.where(a > 1e-9, -(flow * flow * b / (G * a**3) - 1), -1e9)
 
-    return root(f, z.min() + 1e-6, z.min() + 100.0, 90)
+    return root(f, z.min(-1) + 1e-6, z.min(-1) + 100.0, 90)
 
 
-def specific_force(s, z, flow: float, level: float) -> float:
+def specific_force(s, z, flow: float, level):
     a, _, _, m = wetted(s, z, level)
-    return flow * flow / (G * a) + m if a > 0 else np.inf
+    with np.errstate(all="ignore"):
+        return np.where(a > 0, flow * flow / (G * a) + m, np.inf)
 
 
-def march(sections: list[tuple[float, np.ndarray, np.ndarray]], flow: float, n: float, start: float, contraction: float, expansion: float, rising: bool) -> list[float]:
-    """Standard step from the first section on; rising: subcritical (upstream), else supercritical (downstream)."""
-    levels = [start]
+def march(x: np.ndarray, s: np.ndarray, z: np.ndarray, counts: np.ndarray, flow: float, n: float, start: np.ndarray, contraction: float, expansion: float, rising: bool) -> np.ndarray:
+    """Levels (reach, section) by the standard step from each reach's first section on, all reaches at once.
 
-    def head(s, z, w: float) -> tuple[float, float, float]:
+    x (reach, section), s and z (reach, section, point); of each reach the first `counts` sections hold.
+    rising: subcritical (upstream), else supercritical (downstream)."""
+    levels = np.full(x.shape, np.nan)
+    levels[:, 0] = start
+
+    def head(s, z, w):
         a, p, _, _ = wetted(s, z, w)
-        v = flow / max(a, 1e-9)
-        return v * v / (2 * G), (flow * n / (max(a, 1e-9) * (max(a, 1e-9) / max(p, 1e-9)) ** (2 / 3))) ** 2, w + v * v / (2 * G)
+        v = flow / np.maximum(a, 1e-9)
+        return v * v / (2 * G), (flow * n / (np.maximum(a, 1e-9) * (np.maximum(a, 1e-9) / np.maximum(p, 1e-9)) ** (2 / 3))) ** 2, w + v * v / (2 * G)
 
-    for (x0, s0, z0), (x1, s1, z1) in zip(sections, sections[1:]):
-        vh0, sf0, e0 = head(s0, z0, levels[-1])
+    for i in range(1, x.shape[1]):
+        on = np.flatnonzero(counts > i)
+        s1, z1, dx = s[on, i], z[on, i], np.abs(x[on, i] - x[on, i - 1])
+        vh0, sf0, e0 = head(s[on, i - 1], z[on, i - 1], levels[on, i - 1])
         crit = critical_level(s1, z1, flow)
         sign = 1.0 if rising else -1.0
 
-        def miss(w: float) -> float:
+        def miss(w):
             vh, sf, e = head(s1, z1, w)
-            lost = (sf0 + sf) / 2 * abs(x1 - x0) + (contraction if vh0 > vh else expansion) * abs(vh0 - vh)
+            lost = (sf0 + sf) / 2 * dx + np.where(vh0 > vh, contraction, expansion) * np.abs(vh0 - vh)
             return e - (e0 + sign * lost)
 
         if rising:
-            w = root(miss, crit, crit + 100.0) if miss(crit) < 0 else crit
+            w = np.where(miss(crit) < 0, root(miss, crit, crit + 100.0), crit)
         else:
-            low = z1.min() + 1e-3
-            w = root(lambda x: -miss(x), low, crit) if miss(low) > 0 > miss(crit) else crit
-        levels.append(w)
+            low = z1.min(-1) + 1e-3
+            w = np.where((miss(low) > 0) & (miss(crit) < 0), root(lambda y: -miss(y), low, crit), crit)
+        levels[on, i] = w
     return levels
 
 
+def profiles(reaches: list[list[tuple]], flow: float, n: float, slope: float, contraction: float, expansion: float, regime: str) -> tuple[np.ndarray, ...]:
+    """(level, lowest point, area, width) of every section of many reaches, lists of (station, [(s, z), ...]) by station, reach by reach."""
+    counts = np.array([len(r) for r in reaches])
+    points = max(len(pts) for r in reaches for _, pts in r)
+    x = np.zeros((len(reaches), counts.max()))
+    s, z = np.zeros((*x.shape, points)), np.zeros((*x.shape, points))
+    for i, r in enumerate(reaches):
+        for j, (station, pts) in enumerate(r):
+            x[i, j] = station
+            s[i, j, : len(pts)], z[i, j, : len(pts)] = zip(*pts)
+            s[i, j, len(pts) :], z[i, j, len(pts) :] = pts[-1]
+    held = np.arange(x.shape[1]) < counts[:, None]
+    back = np.where(held, counts[:, None] - 1 - np.arange(x.shape[1]), np.arange(x.shape[1]))
+    row = np.arange(len(reaches))[:, None]
+    if regime != "super":
+        ux, us, uz = x[row, back], s[row, back], z[row, back]
+        first = np.maximum(normal_level(us[:, 0], uz[:, 0], flow, n, slope), critical_level(us[:, 0], uz[:, 0], flow))
+        sub = march(ux, us, uz, counts, flow, n, first, contraction, expansion, True)[row, back][held]
+    if regime != "sub":
+        first = np.minimum(normal_level(s[:, 0], z[:, 0], flow, n, slope), critical_level(s[:, 0], z[:, 0], flow))
+        sup = march(x, s, z, counts, flow, n, first, contraction, expansion, False)[held]
+    s, z = s[held], z[held]
+    if regime == "mixed":
+        w = np.where(specific_force(s, z, flow, sub) >= specific_force(s, z, flow, sup), sub, sup)
+    else:
+        w = sub if regime == "sub" else sup
+    a, _, b, _ = wetted(s, z, w)
+    return w, z.min(-1), a, b
+
+
 def backwater(sections: DataFrame, reach: str, flow: float, n: float = 0.035, slope: float = 0.002, contraction: float = 0.1, expansion: float = 0.3, regime: str = "sub") -> DataFrame:
     """Water surface along each reach (reach, station, pts): levels, depths, areas, velocities and Froude numbers.
 
-    regime: sub (from the last station up), super (from the first down), or mixed (the larger specific force governs)."""
+    regime: sub (from the last station up), super (from the first down), or mixed (the larger specific force governs).
+    A reach is one row of its sections; reaches are marched together, about 20,000 points at a time."""
     kind = {f.name: f.dataType.simpleString() for f in sections.schema}[reach]
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("station", kind="stable")
-        rows = [(float(x), np.array([p["s"] for p in pts]), np.array([p["z"] for p in pts])) for x, pts in zip(part["station"], part["pts"])]
-        up = rows[::-1]
-        sub = march(up, flow, n, max(normal_level(up[0][1], up[0][2], flow, n, slope), critical_level(up[0][1], up[0][2], flow)), contraction, expansion, True)[::-1] if regime != "super" else None
-        sup = march(rows, flow, n, min(normal_level(rows[0][1], rows[0][2], flow, n, slope), critical_level(rows[0][1], rows[0][2], flow)), contraction, expansion, False) if regime != "sub" else None
-        out = []
-        for i, (x, s, z) in enumerate(rows):
-            if regime == "mixed":
-                w = sub[i] if specific_force(s, z, flow, sub[i]) >= specific_force(s, z, flow, sup[i]) else sup[i]
-            else:
-                w = sub[i] if regime == "sub" else sup[i]
-            a, p, b, _ = wetted(s, z, w)
-            v = flow / a
-            out.append((part[reach].iloc[0], x, w, w - z.min(), a, b, v, v / np.sqrt(G * a / b), w + v * v / (2 * G)))
-        return pd.DataFrame(out, columns=[reach, "station", "level", "depth", "area", "width", "v", "fr", "energy"])
-
-    return sections.groupBy(reach).applyInPandas(run, f"{reach} {kind}, station double, level double, depth double, area double, width double, v double, fr double, energy double")
+    section = F.struct(F.col("station").cast("double").alias("station"), F.transform("pts", lambda p: F.struct(p["s"].cast("double").alias("s"), p["z"].cast("double").alias("z"))).alias("pts"))
+    rows = sections.groupBy(reach).agg(F.sort_array(F.collect_list(section)).alias("sections"))
+    names = [reach, "station", "level", "depth", "area", "width", "v", "fr", "energy"]
+    schema = f"{reach} {kind}, station double, level double, depth double, area double, width double, v double, fr double, energy double"
+
+    def solved(ids: list, reaches: list[list[tuple]], key: pa.DataType) -> pa.RecordBatch:
+        w, low, a, b = profiles(reaches, flow, n, slope, contraction, expansion, regime)
+        v = flow / a
+        out = (np.array([x for r in reaches for x, _ in r]), w, w - low, a, b, v, v / np.sqrt(G * a / b), w + v * v / (2 * G))
+        return pa.RecordBatch.from_arrays([pa.array([i for i, r in zip(ids, reaches) for _ in r], key), *map(pa.array, out)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, reaches, most, total = [], [], 0, 0
+            for at in range(batch.num_rows):
+                one = [(x["station"], [(p["s"], p["z"]) for p in x["pts"]]) for x in batch.column(1)[at].as_py()]
+                ids.append(batch.column(0)[at].as_py())
+                reaches.append(one)
+                most, total = max(most, len(one)), max(total, max(len(p) for _, p in one))
+                if len(reaches) * most * total >= 20_000:
+                    yield solved(ids, reaches, batch.schema.field(0).type)
+                    ids, reaches, most, total = [], [], 0, 0
+            if reaches:
+                yield solved(ids, reaches, batch.schema.field(0).type)
+
+    return rows.mapInArrow(run, schema)
 
 
 # --- culverts and bridges: expressions ----------------------------------------------------------------------

@@ -38,6 +38,33 @@ def test_backwater_of_a_uniform_reach(spark):
         assert len(got) == 10 and all(abs(r.depth - 2) < 0.01 and r.fr < 1 for r in got)
 
 
+def test_backwater_of_many_reaches_is_that_of_each(spark):
+    r = np.random.default_rng(5)
+    reaches = {}
+    for i in range(12):
+        ends = [(0.0, 40.0), *((float(x), float(r.uniform(0, 3))) for x in range(1, r.integers(3, 9))), (9.0, 40.0)]
+        reaches[i] = [(50.0 * k, [(s, z - 0.1 * k) for s, z in ends]) for k in range(r.integers(1, 6))]
+    for regime in ("sub", "super", "mixed"):
+        whole = hydraulics.profiles(list(reaches.values()), 30.0, 0.03, 0.002, 0.1, 0.3, regime)
+        single = [np.concatenate(x) for x in zip(*(hydraulics.profiles([x], 30.0, 0.03, 0.002, 0.1, 0.3, regime) for x in reaches.values()))]
+        assert all(np.allclose(a, b, rtol=0, atol=1e-9) for a, b in zip(whole, single))
+    df = spark.createDataFrame([(i, x, p) for i, rows in reaches.items() for x, p in rows], "reach int, station double, pts array<struct<s:double,z:double>>").repartition(3)
+    got = {(x.reach, x.station): x.level for x in hydraulics.backwater(df, "reach", 30.0, n=0.03, regime="mixed").collect()}
+    assert np.allclose([got.pop((i, x)) for i, rows in reaches.items() for x, _ in rows], whole[0], rtol=0, atol=1e-9) and not got
+
+
+def test_queries_take_every_reach_and_culvert(spark):
+    from riverframe.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    want = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
+    got = registry.queries()["backwater_profile"](spark, sf)
+    assert got.count() == want and got.filter("depth > 0").count() == want
+    suppliers = {r.s_suppkey for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
+    rated = registry.queries()["culvert_rating"](spark, sf).collect()
+    assert {r.id for r in rated} == suppliers and len(rated) == 24 * len(suppliers)
+
+
 def test_scour_and_hazard(spark):
     zero = F.lit(0.0)
     args = [F.lit(1.5), F.lit(3.0), F.lit(0.4), F.lit(20.0)]
