@@ -98,16 +98,19 @@ def inside(points: DataFrame, polygons: DataFrame, point_id: str = "point_id", p
     return hits.groupBy(point_id, polygon_id).agg(F.count(F.lit(1)).alias("__k")).filter("__k % 2 = 1").drop("__k")
 
 
-def upstream(basins: DataFrame, start: DataFrame, node: str = "id", down: str = "next_down", rounds: int = 64) -> DataFrame:
+def upstream(basins: DataFrame, start: DataFrame, node: str = "id", down: str = "next_down") -> DataFrame:
     """(root, id): all basins that drain to each root, itself included.
 
-    Breadth first, one join per level of the tree, over all roots at once; lineage is cut at each level.
-    Every basin has one basin below it, so only the root itself can be met again, on a cycle through it."""
-    tree = basins.select(F.col(node).alias("up"), F.col(down).alias("down")).filter("down is not null").distinct()
-    seen = level = start.select(F.col(node).alias("root"), F.col(node).alias("id")).distinct()
-    for _ in range(rounds):
-        level = cut(level.join(tree, F.col("down") == F.col("id")).filter("up <> root").select("root", F.col("up").alias("id")))
-        if level.isEmpty():
-            break
-        seen = seen.union(level)
-    return seen
+    Pointers down the tree are doubled: after k rounds all basins within 2^k - 1 steps of a root are found, and a
+    round that finds none ends the search, so rounds are log2 of the longest way. Each is one join over all roots
+    at once; lineage is cut. Basins on a cycle are met again and count once."""
+    jump = basins.select(F.col(node).alias("up"), F.col(down).alias("down")).filter("up is not null and down is not null").distinct()
+    seen = start.select(F.col(node).alias("root"), F.col(node).alias("id")).distinct()
+    while True:
+        more = seen.join(jump, F.col("down") == F.col("id")).select("root", F.col("up").alias("id")).distinct()
+        more = cut(more.join(seen, ["root", "id"], "left_anti"))
+        if more.isEmpty():
+            return seen
+        seen = cut(seen.union(more))
+        far = jump.select(F.col("up").alias("down"), F.col("down").alias("far"))
+        jump = cut(jump.join(far, "down").select("up", F.col("far").alias("down")).distinct())

@@ -147,6 +147,14 @@ def test_fill_and_storage(spark):
     assert [round(c.volume, 6) for c in curve] == [round(float(np.maximum(0, c.level - z).sum()), 6) for c in curve]
 
 
+def test_upstream_of_a_long_chain(spark):
+    rows = [(i, i - 1 if i else None) for i in range(300)] + [(1000 + i, 1000 + (i + 1) % 5) for i in range(5)] + [(2000, 1002)]
+    tree = spark.createDataFrame(rows, "id int, next_down int")
+    got = stations.upstream(tree, spark.createDataFrame([(0,), (250,), (1000,)], "id int"))
+    want = [(0, i) for i in range(300)] + [(250, i) for i in range(250, 300)] + [(1000, i) for i in (*range(1000, 1005), 2000)]
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_polygons_trees_and_distance(spark):
     squares = spark.createDataFrame([(1, [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]), (2, [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0), (1.0, 1.0)])], "polygon_id int, ring array<struct<lon:double,lat:double>>")
     points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 1.5), (3, 5.0, 5.0), (4, 0.0, 1.0)], "point_id int, lon double, lat double")
