@@ -2,7 +2,7 @@
 
 Relational operators work on a table of cells (row, col, z) and scale with it: neighbours are an
 equi-join, accumulation and watersheds are pointer doubling. Priority-flood filling is sequential within
-a grid and runs per grid tile as a kernel.
+a tile and runs per tile as a kernel; the tiles of one raster exchange their borders until these stand still.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def fill(z: np.ndarray, eps: float = 1e-3) -> np.ndarray:
 
 
 def fill_sinks(cells: DataFrame, grid: str, eps: float = 1e-3) -> DataFrame:
-    """(grid, row, col, z) with z filled; a grid is one tile, as read from a raster."""
+    """(grid, row, col, z) with z filled; a grid is a raster of its own that fits one task. fill_raster() fills one of many tiles."""
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -60,6 +60,80 @@ def fill_sinks(cells: DataFrame, grid: str, eps: float = 1e-3) -> DataFrame:
     return cells.select(grid, "row", "col", F.col("z").cast("double").alias("z")).groupBy(grid).applyInPandas(run, f"{grid} {kinds[grid]}, row int, col int, z double")
 
 
+def flood(z: np.ndarray, level: np.ndarray, eps: float = 1e-3) -> np.ndarray:
+    """Priority-flood from all cells of finite level; cells that nothing reaches stay infinite, cells of infinite z keep their level."""
+    rows, cols = z.shape
+    out = level.astype(np.float32)
+    heap = [(float(out[r, c]), int(r), int(c)) for r, c in zip(*np.nonzero(np.isfinite(out)))]
+    heapq.heapify(heap)
+    while heap:
+        at, r, c = heapq.heappop(heap)
+        if at > out[r, c]:
+            continue
+        rise = np.float32(at + eps)
+        for dr, dc in N8:
+            a, b = r + dr, c + dc
+            if 0 <= a < rows and 0 <= b < cols and (up := max(z[a, b], rise)) < out[a, b]:
+                out[a, b] = up
+                heapq.heappush(heap, (float(up), a, b))
+    return out
+
+
+def fill_raster(cells: DataFrame, tile: int = 256, eps: float = 1e-3) -> DataFrame:
+    """(row, col, z) with z filled over one raster of any size, with the levels that fill() gives on all of it.
+
+    Tiles of tile x tile cells are flooded apart, each from the outlets in it and from the levels that the cells
+    around it have so far; only border cells travel, and only tiles that hear of a lower level run again. Levels
+    only fall, and once none does they are those of a single flood."""
+    kernel = "row int, col int, z double"
+    place = lambda r, c: (F.floor(r / tile).cast("int").alias("tr"), F.floor(c / tile).cast("int").alias("tc"))
+    base = cells.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("z").cast("double").alias("z"))
+    r0, r1, c0, c1 = base.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    if r0 is None:
+        return base
+    outlet = F.col("row").isin(r0, r1) | F.col("col").isin(c0, c1)
+    tiles = cut(base.select(*place(F.col("row"), F.col("col")), "row", "col", "z", outlet.alias("outlet"), F.lit(False).alias("around")))
+    present = tiles.select("tr", "tc").distinct()
+
+    def flooded(part: pd.DataFrame) -> pd.DataFrame:
+        r = part["row"].to_numpy() - part["tr"].iloc[0] * tile + 1
+        c = part["col"].to_numpy() - part["tc"].iloc[0] * tile + 1
+        own, start = ~part["around"].to_numpy(bool), part["outlet"].to_numpy(bool)
+        z, level = np.full((2, tile + 2, tile + 2), np.float32(np.inf))
+        z[r[own], c[own]] = part["z"].to_numpy()[own]
+        level[r[~own], c[~own]] = part["z"].to_numpy()[~own]
+        level[r[start], c[start]] = z[r[start], c[start]]
+        return part[["row", "col"]].assign(z=flood(z, level, eps)[r, c].astype(float))[own]
+
+    def border(part: pd.DataFrame) -> pd.DataFrame:
+        out = flooded(part)
+        r, c = out["row"] % tile, out["col"] % tile
+        return out[((r == 0) | (r == tile - 1) | (c == 0) | (c == tile - 1)) & np.isfinite(out["z"])]
+
+    near = F.array_distinct(F.array(*[F.struct(*place(F.col("row") + a, F.col("col") + b)) for a, b in N8]))
+    key = ["tr", "tc", "row", "col"]
+
+    def heard(around: DataFrame) -> DataFrame:
+        return around.select(*key, "z", F.lit(False).alias("outlet"), F.lit(True).alias("around"))
+
+    run, around = tiles, None
+    while True:
+        found = run.groupBy("tr", "tc").applyInPandas(border, kernel)
+        sent = found.select("row", "col", "z", F.explode(near).alias("t")).select("t.tr", "t.tc", "row", "col", "z")
+        away = sent.filter((F.col("tr") != F.floor(F.col("row") / tile)) | (F.col("tc") != F.floor(F.col("col") / tile)))
+        news = away.join(present, ["tr", "tc"], "left_semi").groupBy(*key).agg(F.min("z").alias("z"))
+        if around is not None:
+            news = news.join(around.withColumnRenamed("z", "old"), key, "left").filter("old is null or z < old").drop("old")
+        news = cut(news)
+        if news.isEmpty():
+            break
+        around = news if around is None else cut(around.unionByName(news).groupBy(*key).agg(F.min("z").alias("z")))
+        again = news.select("tr", "tc").distinct()
+        run = tiles.unionByName(heard(around)).join(again, ["tr", "tc"], "left_semi")
+    whole = tiles if around is None else tiles.unionByName(heard(around))
+    return whole.groupBy("tr", "tc").applyInPandas(flooded, kernel)
+
+
 def flow_directions(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, row, col, to_row, to_col): steepest of the eight descents; null at the border and in pits. Ties take the first in N8's order."""
     neighbours = F.array(*[F.struct(F.lit(i).alias("o"), F.lit(a).alias("dr"), F.lit(b).alias("dc"), F.lit(float(np.hypot(a, b))).alias("d")) for i, (a, b) in enumerate(N8)])

@@ -100,6 +100,6 @@ def snow_line_by_latitude(spark, sf_dir):
 
 @query()
 def fill_sinks(spark, sf_dir):
-    """Grids of fifty rows of fifty parts each."""
-    p = b.part_raster(spark, sf_dir)
-    return terrain.fill_sinks(p.withColumn("grid", F.floor(F.col("row") / 50)), "grid")
+    """All parts as one raster, filled in tiles; grid is the tile, fifty rows of fifty parts."""
+    filled = terrain.fill_raster(b.part_raster(spark, sf_dir), tile=50)
+    return filled.select(F.floor(F.col("row") / 50).alias("grid"), "row", "col", "z")

@@ -147,6 +147,33 @@ def test_fill_and_storage(spark):
     assert [round(c.volume, 6) for c in curve] == [round(float(np.maximum(0, c.level - z).sum()), 6) for c in curve]
 
 
+def test_fill_across_tiles(spark):
+    r = np.random.default_rng(3)
+    rows, cols = np.mgrid[0:31, 0:26]
+    z = np.hypot(rows - 15, cols - 12) + r.uniform(0, 6, rows.shape) + 40.0
+    z[5:26:4, 2:24] = 90.0  # walls with gaps on alternate sides, so water winds through tiles
+    z[5:26:8, 2], z[9:26:8, 23] = 50.0, 50.0
+    cells = spark.createDataFrame([(i - 9, j + 3, float(z[i, j])) for i in range(31) for j in range(26)], "row int, col int, z double")
+    want = terrain.fill(z)
+    for tile in (7, 64):
+        got = {(x.row + 9, x.col - 3): x.z for x in terrain.fill_raster(cells, tile).collect()}
+        assert got == {(i, j): float(want[i, j]) for i in range(31) for j in range(26)}
+    assert terrain.fill_raster(cells.limit(0)).count() == 0
+
+
+def test_fill_query_is_one_raster(spark, tmp_path):
+    from riverframe.plans import registry
+
+    z = np.random.default_rng(4).uniform(900, 2000, (110, 50))
+    z[44:56, 20:30] = 10.0  # a hollow across the border of two tiles
+    parts = [(i * 50 + j, float(z[i, j])) for i in range(110) for j in range(50)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    want = terrain.fill(z)
+    got = registry.queries()["fill_sinks"](spark, str(tmp_path)).collect()
+    assert {(x.grid, x.row, x.col): x.z for x in got} == {(i // 50, i, j): float(want[i, j]) for i in range(110) for j in range(50)} and len(got) == len(parts)
+    assert (want != np.concatenate([terrain.fill(z[i : i + 50]) for i in (0, 50, 100)])).any()
+
+
 def test_upstream_of_a_long_chain(spark):
     rows = [(i, i - 1 if i else None) for i in range(300)] + [(1000 + i, 1000 + (i + 1) % 5) for i in range(5)] + [(2000, 1002)]
     tree = spark.createDataFrame(rows, "id int, next_down int")
