@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java regex of a word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
@@ -23,9 +24,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset and all is one process, as in tests."""
     if path := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="riverframe-"))
 
 
@@ -67,3 +70,36 @@ def words(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words as bigint (null: 0)."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("bigint")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, also where body uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def size_at_most(df: DataFrame, row_bytes: Column, most: int) -> bool:
+    """Whether the rows of df, of row_bytes each, take at most `most` bytes together: the check before a broadcast."""
+    return (df.agg(F.sum(row_bytes.cast("bigint"))).first()[0] or 0) <= most
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, name: str = "__key") -> tuple[DataFrame, DataFrame | None]:
+    """docs with a bigint key in column `name`, and the table (key, id) that names keys, None where they are the ids.
+
+    Keys are ids where no id has two different texts. Otherwise keys number the distinct (id, text) in that
+    order, so rows of equal id and text share a key and rows of equal id and different texts do not. A null
+    id has a null key."""
+    docs_id, digest = F.col(id_col).cast("bigint"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    texts = docs.filter(docs_id.isNotNull()).select(docs_id.alias("id"), digest.alias("v"))
+    if texts.groupBy("id").agg(F.min("v").alias("low"), F.max("v").alias("high")).filter("low <> high").isEmpty():
+        return docs.withColumn(name, docs_id), None
+    pairs = table(texts.distinct().repartitionByRange("id", "v").select("id", "v", F.spark_partition_id().alias("part")), "ids")
+    counts = sorted((r.part, r.n) for r in pairs.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, total = {}, 0
+    for part, n in counts:
+        starts[part], total = total, total + n
+    first = F.create_map(*[F.lit(x) for item in starts.items() for x in item])[F.col("part")]
+    place = F.row_number().over(Window.partitionBy("part").orderBy("id", "v"))
+    names = table(pairs.select((first + place).cast("bigint").alias(name), "id", "v"), "keys")
+    drop(pairs)
+    of = names.select(name, F.col("id").alias("__id"), F.col("v").alias("__v"))
+    return docs.join(of, (docs_id == F.col("__id")) & (digest == F.col("__v")), "left").drop("__id", "__v"), names.select(name, "id")

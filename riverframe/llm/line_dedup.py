@@ -1,151 +1,79 @@
-"""Line dedup by an exact set-similarity join.
+"""Line dedup by an exact set-similarity join, in DataFrame functions only.
 
 A line's tokens are its distinct 5-word shingles after lower-casing (a shorter line is one token); lines
 of fewer than `min_words` words are left alone. A line goes when a line of an earlier (id, position) has
 the same tokens or a Jaccard similarity of num/den or more with it; earlier lines count whether or not
 they stay themselves.
 
-1. Rarity: counts of all tokens by hashed bucket (a table of fixed size) rank the buckets; a token is a
-   63-bit number that starts with its bucket's rank, so sorting numbers puts rare tokens first.
-2. Lines with equal token sets collapse; the first stands for them.
+1. Rarity: counts of all shingles by hashed bucket (a table of fixed size) rank the buckets; a token is a
+   63-bit hash that starts with its bucket's rank, so sorting numbers puts rare tokens first.
+2. Lines with equal token sets collapse by a 128-bit digest; the first stands for them.
 3. Prefix filter: two similar sets share a token among the first n - ceil(t n) + 1 of each. Only tokens
-   that several sets have in their prefixes go on.
+   that several sets have in their prefixes go on. Sets too small to be similar to any but an equal one
+   have no prefix.
 4. Length and positional filters cut pairs; the rest are verified on their whole token sets. Each set is
    first held against the most copied set of each of its tokens, and only what that does not settle is
    held against all earlier ones, so a large group of variants of one line makes no pairs among itself.
 
-Null texts stay null, empty ones empty; the lines that stay are joined by line feeds. Rows that repeat
-an id share their lines' fate: both count as one document. An empty table gives an empty result, other
-columns pass through dedup_lines() untouched.
+Null texts stay null, empty ones empty; the lines that stay are joined by line feeds. Rows without an id
+pass unchanged. Rows of equal id and text share their lines' fate; rows of equal id and different texts
+are ordered by a hash of the text. A line of any length is one array of its task; positions are ints, so
+more than 2^31 words in a line are beyond Spark's arrays. An empty table gives an empty result, other
+columns pass through dedup_lines() untouched, whatever their names (those starting with __ excepted).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop, table
-from .shingles import mix, summed, word_hashes
+from .common import SPACE, documents, drop, keyed, let, size_at_most, table
 
 WORDS, NUM, DEN, MIN_WORDS = 5, 80, 100, 3
 BUCKET_BITS, LOW_BITS = 14, 49
-#: So many lines (8 MB) may be broadcast to meet their texts; more are joined by a shuffle.
-BROADCAST_MOST = 1_000_000
-
-
-def tokens_of(texts: list[str | None], k: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of many texts at once: (text number, line number, number of tokens) of each line that takes part, and all their tokens' 63-bit hashes, line by line, repeats included."""
-    low = [(t or "").lower().encode() for t in texts]
-    data = np.frombuffer(b"\n".join(low), np.uint8)
-    ends = np.append(np.flatnonzero(data == 10), len(data))
-    bounds = np.concatenate(([0], ends))
-    hashes, counts = word_hashes(data, bounds)
-    lengths = np.array([len(x) + 1 for x in low])
-    first = np.cumsum(lengths) - lengths
-    owner = np.searchsorted(first, bounds[:-1] + (np.arange(len(ends)) > 0), "right") - 1
-    number = np.arange(len(ends)) - np.searchsorted(bounds[1:-1] + 1, first, "right")[owner]
-    starts = np.cumsum(counts) - counts
-    rolled = np.zeros(max(0, len(hashes) - k + 1), np.uint64)
-    for j in range(k):
-        rolled = mix(rolled + hashes[j : j + len(rolled)] * np.uint64(2 * j + 1) + np.uint64(k))
-    use = np.flatnonzero(counts >= min_words)
-    sizes = np.maximum(counts[use] - k + 1, 1)
-    at = np.repeat(starts[use] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    long_ = np.repeat(counts[use] >= k, sizes)
-    tokens = np.zeros(len(at), np.uint64)
-    tokens[long_] = rolled[at[long_]]
-    for n in range(1, k):  # lines of fewer words are one token
-        short = np.flatnonzero(~long_)[counts[use][counts[use] < k] == n]
-        acc = np.zeros(len(short), np.uint64)
-        for j in range(n):
-            acc = mix(acc + hashes[at[short] + j] + np.uint64(n))
-        tokens[short] = acc
-    return owner[use], number[use], sizes, tokens >> np.uint64(1)
-
-
-def texts(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[list[tuple]]:
-    """Rows of batches as lists of about `size` characters."""
-    rows, total = [], 0
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            rows.append(row)
-            total += len(row[1] or "")
-            if total >= size:
-                yield rows
-                rows, total = [], 0
-    if rows:
-        yield rows
-
-
-def ranks(docs: DataFrame, min_words: int) -> list[int]:
-    """From (doc, text): rank of each bucket of tokens by how many tokens it holds, rare first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << BUCKET_BITS, np.int64)
-        for rows in texts(batches):
-            tokens = tokens_of([t for _, t in rows], WORDS, min_words)[3]
-            n += np.bincount((tokens >> np.uint64(LOW_BITS)).astype(np.int64), minlength=len(n))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["b", "n"])
-
-    found = docs.mapInArrow(run, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).collect()
-    out = [0] * (1 << BUCKET_BITS)
-    for rank, r in enumerate(sorted(found, key=lambda r: (r.n, r.b))):
-        out[r.b] = rank
-    return out
+#: Most bytes of line numbers that may be broadcast to meet their texts; more are joined by a shuffle.
+BROADCAST_MOST = 8 << 20
 
 
-def token_sets(numbers: list[str | None], rank: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, line number, size, tokens) of each line's distinct tokens as numbers, rare first."""
-    owner, number, sizes, tokens = tokens_of(numbers, WORDS, min_words)
-    line = np.repeat(np.arange(len(sizes)), sizes)
-    tokens = (rank[(tokens >> np.uint64(LOW_BITS)).astype(np.int64)] << np.uint64(LOW_BITS)) | (tokens & np.uint64((1 << LOW_BITS) - 1))
-    order = np.lexsort((tokens, line))
-    line, tokens = line[order], tokens[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (tokens[1:] != tokens[:-1])
-    line, tokens = line[new], tokens[new]
-    return owner, number, np.bincount(line, minlength=len(sizes)), tokens
+def line_words(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
+    """Rows (doc, line, h): hashes of the words of each line that takes part."""
+    lines = docs.select(F.col(key).alias("doc"), F.posexplode(F.split(F.lower(text), "\n")).alias("line", "x"))
+    words = F.array_remove(F.split("x", SPACE), "")
+    return lines.select("doc", "line", F.transform(words, lambda w: F.xxhash64(w)).alias("h")).filter(F.size("h") >= min_words)
 
 
-def signed_lines(docs: DataFrame, rank: list[int], num: int, den: int, min_words: int) -> DataFrame:
-    """From (doc, text): (doc, line, d1, d2, n, prefix), d1 and d2 the digest of a line's token set.
+def rarity(lines: DataFrame) -> Column:
+    """Rank of each bucket of shingles by how many shingles of all lines it holds, rare first, as an array."""
+    runs = lines.filter(F.size("h") >= WORDS).select(F.inline(F.arrays_zip(*[F.slice("h", j + 1, F.size("h") - WORDS + 1).alias(f"w{j}") for j in range(WORDS)])))
+    bucket = F.shiftrightunsigned(F.xxhash64(*[f"w{j}" for j in range(WORDS)]), 64 - BUCKET_BITS)
+    found = runs.select(bucket.alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()
+    ranks = [0] * (1 << BUCKET_BITS)
+    for rank, r in enumerate(sorted(found, key=lambda r: (r.n, r.b))):
+        ranks[r.b] = rank
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
-    Prefix tokens are cut to their first 40 bits: chance agreements only add pairs, which are verified."""
-    table_ = np.array(rank, np.uint64)
-    cut = np.uint64(BUCKET_BITS + LOW_BITS - 40)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in texts(batches):
-            owner, number, n, tokens = token_sets([t for _, t in rows], table_, min_words)
-            ids = np.array([i for i, _ in rows], np.int64)
-            d1, d2 = (summed(mix(tokens ^ np.uint64(s)), n).view(np.int64) for s in (0x51ED27, 0xA3C59AC3))
-            length = n - -(-n * num // den) + 1
-            at = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
-            prefix = (tokens[at < np.repeat(length, n)] >> cut).astype(np.int64)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(number.astype(np.int32)), pa.array(d1), pa.array(d2), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(prefix))], ["doc", "line", "d1", "d2", "n", "prefix"])
+def token_set(h: Column, ranks: Column) -> Column:
+    """The sorted distinct tokens of a line's word hashes, rare first."""
+    low = F.lit((1 << LOW_BITS) - 1)
+    runs = F.transform(F.slice(h, 1, F.size(h) - WORDS + 1), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, WORDS)]))
+    ranked = F.transform(runs, lambda t: F.shiftleft(F.get(ranks, F.shiftrightunsigned(t, 64 - BUCKET_BITS).cast("int")), LOW_BITS).bitwiseOR(t.bitwiseAND(low)))
+    return F.when(F.size(h) < WORDS, F.array(F.xxhash64(h).bitwiseAND(F.lit((1 << 63) - 1)))).otherwise(F.sort_array(F.array_distinct(ranked)))
 
-    return docs.mapInArrow(run, "doc bigint, line int, d1 bigint, d2 bigint, n int, prefix array<bigint>")
 
+def token_lines(lines: DataFrame, ranks: Column) -> DataFrame:
+    """(doc, line, t): the token set of each line."""
+    return lines.select("doc", "line", let(F.col("h"), lambda h: token_set(h, ranks)).alias("t"))
 
-def wanted_tokens(rows: DataFrame, rank: list[int], min_words: int) -> DataFrame:
-    """From (doc, text, wanted array<int>): (doc, line, t) of the wanted lines."""
-    table_ = np.array(rank, np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in texts(batches):
-            owner, number, n, tokens = token_sets([t for _, t, _ in part], table_, min_words)
-            wanted = [set(w) for _, _, w in part]
-            use = np.array([m in wanted[o] for o, m in zip(owner.tolist(), number.tolist())], bool)
-            ids = np.array([i for i, _, _ in part], np.int64)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(n[use]))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[use]]), pa.array(number[use].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(tokens[np.repeat(use, n)].astype(np.int64)))], ["doc", "line", "t"])
+def signed_lines(lines: DataFrame, ranks: Column, num: int, den: int) -> DataFrame:
+    """(doc, line, d1, d2, n, prefix), d1 and d2 the digest of a line's token set.
 
-    return rows.mapInArrow(run, "doc bigint, line int, t array<bigint>")
+    Prefix tokens are cut to their first 40 bits: chance agreements only add pairs, which are verified."""
+    n = F.size("t")
+    length = F.when(n * (den - num) >= num, n - F.ceil(n * num / den).cast("int") + 1).otherwise(0)
+    prefix = F.transform(F.slice("t", 1, length), lambda x: F.shiftright(x, BUCKET_BITS + LOW_BITS - 40))
+    return token_lines(lines, ranks).select("doc", "line", F.xxhash64("t").alias("d1"), F.xxhash64(F.lit(7), "t").alias("d2"), n.alias("n"), prefix.alias("prefix"))
 
 
 def earlier(a: str, b: str) -> Column:
@@ -153,50 +81,50 @@ def earlier(a: str, b: str) -> Column:
 
 
 def possible(num: int, den: int) -> Column:
-    """Length and positional filters on sets a and b that share a token at a_at and b_at (from 1)."""
+    """Length and positional filters on sets a and b that share a token at a_at and b_at (from 0)."""
     both = F.col("a_n") + F.col("b_n")
     length = F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num
-    overlap = 1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    overlap = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
     return length & (overlap * (den + num) >= both * num)
 
 
-def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS) -> DataFrame:
+def later_matches(rows: DataFrame, key: str, text: str, num: int, den: int, min_words: int) -> DataFrame:
     """Distinct (doc, line) of the lines to remove, as a table."""
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    rank = ranks(rows, min_words)
-    signed = table(signed_lines(rows, rank, num, den, min_words), "lines")
+    lines = line_words(rows, key, text, min_words)
+    ranks = rarity(lines)
+    signed = table(signed_lines(lines, ranks, num, den), "lines")
     groups = signed.groupBy("d1", "d2").agg(F.min(F.struct("doc", "line", "n", "prefix")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    # Copies, size and position travel in one number: they matter as a whole to no join.
-    packed = (F.least("copies", F.lit(65535)) * (1 << 24) + F.col("n")) * (1 << 23)
-    postings = groups.select("copies", "first.*").select("doc", "line", packed.cast("bigint").alias("p"), F.posexplode("prefix").alias("at", "token")).select("token", "doc", "line", (F.col("p") + F.col("at") + 1).alias("p"))
+    postings = groups.select("copies", "first.*").select("doc", "line", "n", "copies", F.posexplode("prefix").alias("at", "token"))
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
-    postings = postings.join(shared, "token").select("token", "doc", "line", F.shiftright("p", 47).alias("copies"), F.shiftright("p", 23).bitwiseAND(F.lit((1 << 24) - 1)).alias("n"), F.col("p").bitwiseAND(F.lit((1 << 23) - 1)).alias("at"))
-    postings = table(postings, "postings")
+    postings = table(postings.join(shared.hint("shuffle_hash"), "token"), "postings")
     kinds = ("doc", "line", "n", "at")
     b = postings.select("token", *[F.col(c).alias(f"b_{c}") for c in kinds])
     a = postings.select("token", *[F.col(c).alias(f"a_{c}") for c in kinds])
     hub = postings.groupBy("token").agg(F.min(F.struct((-F.col("copies")).alias("k"), *kinds)).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"a_{c}") for c in kinds])
     ends = ["a_doc", "a_line", "b_doc", "b_line"]
     near_hub = table(b.join(hub, "token").filter(earlier("a", "b") & possible(num, den)).select(*ends).distinct(), "pairs")
-    settled = matched(rows, near_hub, rank, num, den, min_words)
+    settled = matched(rows, near_hub, key, text, ranks, num, den, min_words)
     rest = b.join(settled, ["b_doc", "b_line"], "left_anti")
     pairs = table(rest.join(a, "token").filter(earlier("a", "b") & possible(num, den)).select(*ends).distinct().join(near_hub, ends, "left_anti"), "pairs")
-    gone = settled.union(matched(rows, pairs, rank, num, den, min_words)).select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line"), F.lit(True).alias("gone"))
+    drop(postings, near_hub)
+    more = matched(rows, pairs, key, text, ranks, num, den, min_words)
+    gone = settled.union(more).select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line"), F.lit(True).alias("gone"))
     judged = groups.select("d1", "d2", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "copies").join(gone, ["doc", "line"], "left").filter("gone or copies > 1").select("d1", "d2", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "gone")
     later = F.col("gone").isNotNull() | (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line"))
     out = table(signed.select("doc", "line", "d1", "d2").join(judged, ["d1", "d2"]).filter(later).select("doc", "line").distinct(), "gone")
-    drop(signed, postings, near_hub, pairs)
+    drop(signed, pairs, settled, more)
     return out
 
 
-def matched(rows: DataFrame, pairs: DataFrame, rank: list[int], num: int, den: int, min_words: int) -> DataFrame:
-    """Distinct (b_doc, b_line) of the pairs whose whole token sets are similar."""
-    wanted = table(pairs.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).union(pairs.select("b_doc", "b_line")).distinct(), "wanted")
-    holders = wanted.groupBy("doc").agg(F.collect_set("line").alias("wanted"))
-    if wanted.count() <= BROADCAST_MOST:
-        holders = F.broadcast(holders)
-    texts_ = rows.join(holders, "doc").dropDuplicates(["doc"]).select("doc", "text", "wanted")
-    found = table(wanted_tokens(texts_, rank, min_words), "tokens")
+def matched(rows: DataFrame, pairs: DataFrame, key: str, text: str, ranks: Column, num: int, den: int, min_words: int) -> DataFrame:
+    """Distinct (b_doc, b_line) of the pairs whose whole token sets are similar, as a table."""
+    wanted = pairs.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).union(pairs.select("b_doc", "b_line"))
+    wanted = table(wanted.groupBy("doc").agg(F.collect_set("line").alias("__wanted")), "wanted")
+    few = size_at_most(wanted, 16 + 4 * F.size("__wanted"), BROADCAST_MOST)
+    of = rows.select(F.col(key).alias("doc"), F.col(text).alias("x")).join(F.broadcast(wanted) if few else wanted, "doc")
+    lines = of.select("doc", F.split(F.lower("x"), "\n").alias("x"), F.explode("__wanted").alias("line")).select("doc", "line", F.get("x", F.col("line")).alias("x"))
+    words = F.transform(F.array_remove(F.split("x", SPACE), ""), lambda w: F.xxhash64(w))
+    found = table(token_lines(lines.select("doc", "line", words.alias("h")), ranks).dropDuplicates(["doc", "line"]), "tokens")
     a, b = (found.select(F.col("doc").alias(f"{x}_doc"), F.col("line").alias(f"{x}_line"), F.col("t").alias(f"{x}_t")) for x in "ab")
     inter, both = F.size(F.array_intersect("a_t", "b_t")), F.size("a_t") + F.size("b_t")
     out = table(pairs.join(a, ["a_doc", "a_line"]).join(b, ["b_doc", "b_line"]).filter(inter * (den + num) >= both * num).select("b_doc", "b_line").distinct(), "matched")
@@ -204,18 +132,19 @@ def matched(rows: DataFrame, pairs: DataFrame, rank: list[int], num: int, den: i
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later matches taken out of the text; with counts also n_lines and n_removed."""
-    found = later_matches(docs, id_col, text_col, **options)
+    rows, _ = keyed(docs, id_col, text_col)
+    found = later_matches(rows.filter(F.col("__key").isNotNull()), "__key", text_col, num, den, min_words)
     gone = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__gone"))
-    if found.count() <= BROADCAST_MOST:
+    if size_at_most(gone, 16 + 4 * F.size("__gone"), BROADCAST_MOST):
         gone = F.broadcast(gone)
-    joined = docs.join(gone, docs[id_col] == F.col("__doc"), "left")
+    joined = rows.join(gone, F.col("__key") == F.col("__doc"), "left")
     split = F.split(F.col(text_col), "\n")
     kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
-    out = joined.withColumns({"__kept": kept, "__n": F.coalesce(F.size(split), F.lit(0)).cast("bigint"), "__r": F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint")})
-    columns = [F.col("__kept").alias(c) if c == text_col else docs[c] for c in docs.columns]
-    return out.select(*columns, *([F.greatest("__n", F.lit(0)).alias("n_lines"), F.greatest("__r", F.lit(0)).alias("n_removed")] if counts else []))
+    n_lines = F.coalesce(F.size(split), F.lit(0)).cast("bigint")
+    columns = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*columns, *([F.greatest(n_lines, F.lit(0)).alias("n_lines"), F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_removed")] if counts else []))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

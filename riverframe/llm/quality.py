@@ -16,21 +16,15 @@ through filter_quality() untouched. Without trusted rows every document scores 0
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents
+from .common import SPACE, documents, let
 
 BUCKETS, THRESHOLD, TRUSTED_MOST = 4096, -0.3, 20_000
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once, also where body uses it inside a lambda."""
-    return F.transform(F.array(value), body)[0]
-
-
 def word_array(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 

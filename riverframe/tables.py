@@ -11,9 +11,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset and all is one process, as in tests."""
     if path := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="riverframe-"))
 
 
