@@ -82,16 +82,18 @@ def size_at_most(df: DataFrame, row_bytes: Column, most: int) -> bool:
     return (df.agg(F.sum(row_bytes.cast("bigint"))).first()[0] or 0) <= most
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, name: str = "__key") -> tuple[DataFrame, DataFrame | None]:
-    """docs with a bigint key in column `name`, and the table (key, id) that names keys, None where they are the ids.
+def keyed(docs: DataFrame, id_col: str, text_col: str, name: str = "__key") -> tuple[DataFrame, DataFrame | None, bool]:
+    """(docs with a bigint key in column `name`, the table (key, id) that names keys or None where they are the ids, whether no key repeats).
 
     Keys are ids where no id has two different texts. Otherwise keys number the distinct (id, text) in that
     order, so rows of equal id and text share a key and rows of equal id and different texts do not. A null
     id has a null key."""
     docs_id, digest = F.col(id_col).cast("bigint"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     texts = docs.filter(docs_id.isNotNull()).select(docs_id.alias("id"), digest.alias("v"))
-    if texts.groupBy("id").agg(F.min("v").alias("low"), F.max("v").alias("high")).filter("low <> high").isEmpty():
-        return docs.withColumn(name, docs_id), None
+    seen = texts.groupBy("id").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n")).agg(F.bool_or(F.expr("low <> high")).alias("several"), F.max("n").alias("n")).first()
+    unique = (seen.n or 0) <= 1
+    if not seen.several:
+        return docs.withColumn(name, docs_id), None, unique
     pairs = table(texts.distinct().repartitionByRange("id", "v").select("id", "v", F.spark_partition_id().alias("part")), "ids")
     counts = sorted((r.part, r.n) for r in pairs.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
     starts, total = {}, 0
@@ -102,4 +104,4 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, name: str = "__key") -> t
     names = table(pairs.select((first + place).cast("bigint").alias(name), "id", "v"), "keys")
     drop(pairs)
     of = names.select(name, F.col("id").alias("__id"), F.col("v").alias("__v"))
-    return docs.join(of, (docs_id == F.col("__id")) & (digest == F.col("__v")), "left").drop("__id", "__v"), names.select(name, "id")
+    return docs.join(of, (docs_id == F.col("__id")) & (digest == F.col("__v")), "left").drop("__id", "__v"), names.select(name, "id"), unique

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, drop, keyed, let, size_at_most, table
+from .common import documents, drop, keyed, let, size_at_most, table
 
 WORDS, NUM, DEN, MIN_WORDS = 5, 80, 100, 3
 BUCKET_BITS, LOW_BITS = 14, 49
@@ -35,16 +35,27 @@ BUCKET_BITS, LOW_BITS = 14, 49
 BROADCAST_MOST = 8 << 20
 
 
+def plain(text: Column) -> Column:
+    """The text in lower case with spaces for other white space than line feeds."""
+    odd = [text.contains(c) for c in "\t\x0b\f\r"]
+    return F.lower(F.when(odd[0] | odd[1] | odd[2] | odd[3], F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text))
+
+
+def word_hashes(line: Column) -> Column:
+    return F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+
+
 def line_words(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     """Rows (doc, line, h): hashes of the words of each line that takes part."""
-    lines = docs.select(F.col(key).alias("doc"), F.posexplode(F.split(F.lower(text), "\n")).alias("line", "x"))
-    words = F.array_remove(F.split("x", SPACE), "")
-    return lines.select("doc", "line", F.transform(words, lambda w: F.xxhash64(w)).alias("h")).filter(F.size("h") >= min_words)
+    lines = docs.select(F.col(key).alias("doc"), F.posexplode(F.split(plain(F.col(text)), "\n")).alias("line", "x"))
+    # The pattern reads no farther than the words that are asked for; a filter on h would make h twice.
+    return lines.filter(F.col("x").rlike(f"^ *(?:[^ ]+ +){{{max(1, min_words) - 1}}}[^ ]")).select("doc", "line", word_hashes(F.col("x")).alias("h"))
 
 
 def rarity(lines: DataFrame) -> Column:
     """Rank of each bucket of shingles by how many shingles of all lines it holds, rare first, as an array."""
-    runs = lines.filter(F.size("h") >= WORDS).select(F.inline(F.arrays_zip(*[F.slice("h", j + 1, F.size("h") - WORDS + 1).alias(f"w{j}") for j in range(WORDS)])))
+    count = F.greatest(F.size("h") - WORDS + 1, F.lit(0))
+    runs = lines.select(F.inline(F.arrays_zip(*[F.slice("h", j + 1, count).alias(f"w{j}") for j in range(WORDS)])))
     bucket = F.shiftrightunsigned(F.xxhash64(*[f"w{j}" for j in range(WORDS)]), 64 - BUCKET_BITS)
     found = runs.select(bucket.alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()
     ranks = [0] * (1 << BUCKET_BITS)
@@ -56,7 +67,7 @@ def rarity(lines: DataFrame) -> Column:
 def token_set(h: Column, ranks: Column) -> Column:
     """The sorted distinct tokens of a line's word hashes, rare first."""
     low = F.lit((1 << LOW_BITS) - 1)
-    runs = F.transform(F.slice(h, 1, F.size(h) - WORDS + 1), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, WORDS)]))
+    runs = F.transform(F.slice(h, 1, F.greatest(F.size(h) - WORDS + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, WORDS)]))
     ranked = F.transform(runs, lambda t: F.shiftleft(F.get(ranks, F.shiftrightunsigned(t, 64 - BUCKET_BITS).cast("int")), LOW_BITS).bitwiseOR(t.bitwiseAND(low)))
     return F.when(F.size(h) < WORDS, F.array(F.xxhash64(h).bitwiseAND(F.lit((1 << 63) - 1)))).otherwise(F.sort_array(F.array_distinct(ranked)))
 
@@ -88,7 +99,7 @@ def possible(num: int, den: int) -> Column:
     return length & (overlap * (den + num) >= both * num)
 
 
-def later_matches(rows: DataFrame, key: str, text: str, num: int, den: int, min_words: int) -> DataFrame:
+def later_matches(rows: DataFrame, key: str, text: str, unique: bool, num: int, den: int, min_words: int) -> DataFrame:
     """Distinct (doc, line) of the lines to remove, as a table."""
     lines = line_words(rows, key, text, min_words)
     ranks = rarity(lines)
@@ -103,11 +114,11 @@ def later_matches(rows: DataFrame, key: str, text: str, num: int, den: int, min_
     hub = postings.groupBy("token").agg(F.min(F.struct((-F.col("copies")).alias("k"), *kinds)).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"a_{c}") for c in kinds])
     ends = ["a_doc", "a_line", "b_doc", "b_line"]
     near_hub = table(b.join(hub, "token").filter(earlier("a", "b") & possible(num, den)).select(*ends).distinct(), "pairs")
-    settled = matched(rows, near_hub, key, text, ranks, num, den, min_words)
+    settled = matched(rows, near_hub, key, text, unique, ranks, num, den)
     rest = b.join(settled, ["b_doc", "b_line"], "left_anti")
     pairs = table(rest.join(a, "token").filter(earlier("a", "b") & possible(num, den)).select(*ends).distinct().join(near_hub, ends, "left_anti"), "pairs")
     drop(postings, near_hub)
-    more = matched(rows, pairs, key, text, ranks, num, den, min_words)
+    more = matched(rows, pairs, key, text, unique, ranks, num, den)
     gone = settled.union(more).select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line"), F.lit(True).alias("gone"))
     judged = groups.select("d1", "d2", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "copies").join(gone, ["doc", "line"], "left").filter("gone or copies > 1").select("d1", "d2", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "gone")
     later = F.col("gone").isNotNull() | (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line"))
@@ -116,15 +127,16 @@ def later_matches(rows: DataFrame, key: str, text: str, num: int, den: int, min_
     return out
 
 
-def matched(rows: DataFrame, pairs: DataFrame, key: str, text: str, ranks: Column, num: int, den: int, min_words: int) -> DataFrame:
+def matched(rows: DataFrame, pairs: DataFrame, key: str, text: str, unique: bool, ranks: Column, num: int, den: int) -> DataFrame:
     """Distinct (b_doc, b_line) of the pairs whose whole token sets are similar, as a table."""
     wanted = pairs.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).union(pairs.select("b_doc", "b_line"))
     wanted = table(wanted.groupBy("doc").agg(F.collect_set("line").alias("__wanted")), "wanted")
     few = size_at_most(wanted, 16 + 4 * F.size("__wanted"), BROADCAST_MOST)
     of = rows.select(F.col(key).alias("doc"), F.col(text).alias("x")).join(F.broadcast(wanted) if few else wanted, "doc")
-    lines = of.select("doc", F.split(F.lower("x"), "\n").alias("x"), F.explode("__wanted").alias("line")).select("doc", "line", F.get("x", F.col("line")).alias("x"))
-    words = F.transform(F.array_remove(F.split("x", SPACE), ""), lambda w: F.xxhash64(w))
-    found = table(token_lines(lines.select("doc", "line", words.alias("h")), ranks).dropDuplicates(["doc", "line"]), "tokens")
+    lines = let(F.split(plain(F.col("x")), "\n"), lambda x: F.transform("__wanted", lambda i: F.struct(i.alias("line"), F.get(x, i).alias("x"))))
+    lines = of.select("doc", F.inline(lines)).select("doc", "line", word_hashes(F.col("x")).alias("h"))
+    found = token_lines(lines, ranks)
+    found = table(found if unique else found.dropDuplicates(["doc", "line"]), "tokens")
     a, b = (found.select(F.col("doc").alias(f"{x}_doc"), F.col("line").alias(f"{x}_line"), F.col("t").alias(f"{x}_t")) for x in "ab")
     inter, both = F.size(F.array_intersect("a_t", "b_t")), F.size("a_t") + F.size("b_t")
     out = table(pairs.join(a, ["a_doc", "a_line"]).join(b, ["b_doc", "b_line"]).filter(inter * (den + num) >= both * num).select("b_doc", "b_line").distinct(), "matched")
@@ -134,8 +146,8 @@ def matched(rows: DataFrame, pairs: DataFrame, key: str, text: str, ranks: Colum
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later matches taken out of the text; with counts also n_lines and n_removed."""
-    rows, _ = keyed(docs, id_col, text_col)
-    found = later_matches(rows.filter(F.col("__key").isNotNull()), "__key", text_col, num, den, min_words)
+    rows, _, unique = keyed(docs, id_col, text_col)
+    found = later_matches(rows.filter(F.col("__key").isNotNull()), "__key", text_col, unique, num, den, min_words)
     gone = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__gone"))
     if size_at_most(gone, 16 + 4 * F.size("__gone"), BROADCAST_MOST):
         gone = F.broadcast(gone)
