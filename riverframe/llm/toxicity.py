@@ -1,20 +1,26 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols through a lexical transducer: a trie of stems with weights (insults), and small
-closed classes (threat verbs, targets, negations, reporting verbs). Four transducers read a clause's
-symbols: negation and reported speech scale what follows them, a target near an insult raises it, and a
-threat counts once its target comes. They are composed into one deterministic machine, whose table of
-reachable states is built once; a clause scores what the machine emits over all its words, so the same
-word weighs differently as "not a ...", "she said ..." or "you ...".
+Words become symbols through a lexical transducer: stems with weights (insults), and small closed classes
+(threat verbs, targets, negations, reporting verbs). Five transducers read a clause's symbols and mark them:
+insults, of which those after another count more; insults and threats that a negation shortly before or a
+report earlier in the clause covers; targets beside an insult; threats once their target comes. They are
+composed into one deterministic machine, whose table of reachable states is built once. A clause's measures
+are the weights of its insults, of the negated, the reported and the targeted ones among them, and its
+threats; its weight is their sum by `MEASURES`, so the same word weighs differently as "not a ...",
+"she said ..." or "you ...". A document's features are the logarithms of its sums of each measure and of its
+heaviest clause.
 
 Stems are learned from labelled rows only: whole words, and prefixes that words go on from, that toxic
-texts have and others have not. Equal texts count once. The weights of two document features,
-the sum and the largest of its clauses, come from a logistic fit on labelled rows that the stems were
-not learned from. Both use at most `sample_most` labelled rows, in the order of a hash of the id.
+texts have and others have not. Equal texts count once. The weights of the features come from a logistic fit
+on labelled rows that the stems were not learned from, drawn to the prior weights as far as these rows say
+nothing. Both use at most `sample_most` labelled rows, in the order of a hash of the id; that bounds the
+stems as well.
 
 Scores depend on the text alone. Null and empty texts have no clause and get the score of a text
-without matches. Labels that are null are ignored; without usable labels only the built-in stems count.
-Repeated rows are scored alike; an empty table gives an empty result; other columns are ignored.
+without matches; a score of 0.5 counts as toxic. Labels that are null are ignored; of several labels of one
+id any one counts; without usable labels only the built-in stems count. Repeated rows are scored alike; an
+empty table gives an empty result; other columns are ignored, whatever their names. Texts are read whole,
+clause by clause, so the longest clause bounds what a task holds besides the text.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import product
 
@@ -31,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, drop, table
 
 # The closed classes and the stems that count without labels.
 INSULTS = "idiot moron loser scum trash clown pathetic worthless disgusting stupid dumb vermin filth imbecile"
@@ -44,66 +50,83 @@ WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CLAUSE = re.compile(r"[^.,;:!?\n]+")
 SYMBOLS = "oitynr"
 SHORTEST, LONGEST, END = 4, 12, "$"
-SEED_WEIGHT, SAMPLE_MOST, STEMS_MOST = 2.0, 20_000, 2_000
+SEED_WEIGHT, SAMPLE_MOST = 2.0, 20_000
+#: Measures of a clause with their weights in it, and the prior weights of the document's features (bias first, heaviest clause last).
+MEASURES = {"insult": 1.0, "negated": -0.6, "reported": -0.4, "targeted": 0.5, "threat": 3.0}
+PRIOR = (-4.0, 2.5, -0.8, -0.5, 0.5, 1.5, 1.0)
+#: An insult after another in its clause.
+AGAIN = 1.25
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """arcs: (state, symbol) -> (next state, factor on an insult or bonus here, bonus). What is missing stays and emits (1, 0)."""
+    """arcs: (state, symbol) -> (next state, mark on this symbol). What is missing stays and marks nothing (0)."""
 
     start: int
     states: int
-    arcs: dict[tuple[int, str], tuple[int, float, float]]
+    arcs: dict[tuple[int, str], tuple[int, float]]
 
-    def step(self, state: int, symbol: str) -> tuple[int, float, float]:
-        return self.arcs.get((state, symbol), (state, 1.0, 0.0))
+    def step(self, state: int, symbol: str) -> tuple[int, float]:
+        return self.arcs.get((state, symbol), (state, 0.0))
 
 
-def fading(trigger: str, reach: int, factor: float) -> Transducer:
-    """After `trigger`, insults and threats among the next `reach` words are scaled."""
+def insults() -> Transducer:
+    """Marks insults: 1 for the first of a clause, AGAIN for what follows."""
+    return Transducer(0, 2, {(0, "i"): (1, 1.0), (1, "i"): (1, AGAIN)})
+
+
+def within(first: str, then: str, reach: int, once: bool = False) -> Transducer:
+    """Marks symbols of `then` among the `reach` after one of `first`; with once the first of them only."""
     arcs = {}
     for state, symbol in product(range(reach + 1), SYMBOLS):
-        arcs[state, symbol] = (reach if symbol == trigger else max(0, state - 1), factor if state and symbol in "it" else 1.0, 0.0)
+        hit = state > 0 and symbol in then
+        arcs[state, symbol] = (reach if symbol in first else 0 if hit and once else max(0, state - 1), 1.0 if hit else 0.0)
     return Transducer(0, reach + 1, arcs)
 
 
-def lasting(trigger: str, factor: float) -> Transducer:
-    """After `trigger`, insults and threats in the rest of the clause are scaled."""
-    return Transducer(0, 2, {(0, trigger): (1, 1.0, 0.0), (1, "i"): (1, factor, 0.0), (1, "t"): (1, factor, 0.0), (1, "y"): (1, factor, 0.0)})
+def after(first: str, then: str) -> Transducer:
+    """Marks every symbol of `then` in the clause after one of `first`."""
+    return Transducer(0, 2, {(0, first): (1, 0.0)} | {(1, x): (1, 1.0) for x in then})
 
 
-def followed(first: str, then: str, reach: int, bonus: float) -> Transducer:
-    """`then` within `reach` words after `first` emits a bonus, once."""
-    arcs = {}
-    for state, symbol in product(range(reach + 1), SYMBOLS):
-        hit = state and symbol == then
-        arcs[state, symbol] = (reach if symbol == first else 0 if hit else max(0, state - 1), 1.0, bonus if hit else 0.0)
-    return Transducer(0, reach + 1, arcs)
+#: The five transducers. Targets are marked on either side of an insult: "you ..." marks the insult, "... you" the target.
+PARTS = {"insult": insults(), "negation": within("n", "ity", 3), "report": after("r", "ity"), "target": within("y", "i", 3), "aim": within("i", "y", 2, True), "threat": within("t", "y", 3, True)}
 
 
-def compose(a: Transducer, b: Transducer) -> Transducer:
-    """Both read the same symbols: factors multiply, bonuses add. Only reachable pairs of states are kept."""
-    number = {(a.start, b.start): 0}
-    arcs: dict[tuple[int, str], tuple[int, float, float]] = {}
-    todo = [(a.start, b.start)]
+def compose(parts: Sequence[Transducer]) -> tuple[dict[tuple[int, str], tuple[int, tuple[float, ...]]], int]:
+    """One machine for transducers that read the same symbols: arcs with the marks of each, and its number of states (0 is first). Only reachable states are kept."""
+    start = tuple(p.start for p in parts)
+    number, arcs, todo = {start: 0}, {}, [start]
     while todo:
-        pair = todo.pop()
+        states = todo.pop()
         for symbol in SYMBOLS:
-            x, fx, bx = a.step(pair[0], symbol)
-            y, fy, by = b.step(pair[1], symbol)
-            if (x, y) not in number:
-                number[x, y] = len(number)
-                todo.append((x, y))
-            arcs[number[pair], symbol] = (number[x, y], fx * fy, bx + by)
-    return Transducer(0, len(number), arcs)
-
-
-def grammar() -> Transducer:
-    parts = [fading("n", 3, 0.4), lasting("r", 0.6), fading("y", 3, 1.5), followed("i", "y", 2, 0.5), followed("t", "y", 3, 3.0)]
-    machine = parts[0]
-    for part in parts[1:]:
-        machine = compose(machine, part)
-    return machine
+            steps = [p.step(x, symbol) for p, x in zip(parts, states)]
+            to = tuple(x for x, _ in steps)
+            if to not in number:
+                number[to] = len(number)
+                todo.append(to)
+            arcs[number[states], symbol] = (number[to], tuple(m for _, m in steps))
+    return arcs, len(number)
+
+
+def measures(marks: Iterator[tuple[str, float, tuple[float, ...]]]) -> list[float]:
+    """The measures of a clause from (symbol, weight, marks of PARTS) of its words."""
+    out, last = [0.0] * len(MEASURES), 0.0
+    for symbol, weight, (insult, negation, report, target, aim, threat) in marks:
+        said = weight * insult
+        last = said if symbol == "i" else last
+        out[0] += said
+        out[3] += said * target + (last if aim else 0.0)
+        out[4] += threat
+        # Words that neither insult nor carry out a threat have nothing to negate.
+        held = said + (MEASURES["threat"] if threat else 0.0)
+        out[1] += held * negation
+        out[2] += held * report
+    return out
+
+
+def clause_weight(found: Sequence[float]) -> float:
+    return round(max(0.0, sum(w * x for w, x in zip(MEASURES.values(), found))), 6)
 
 
 class Lexicon:
@@ -127,10 +150,18 @@ class Lexicon:
 
 class Scorer:
     def __init__(self, stems: dict[str, float]):
-        self.lexicon, self.machine = Lexicon(stems), grammar()
-
-    def clauses(self, text: str | None) -> list[tuple[int, int, float]]:
-        """(start, end, weight) of the clauses that match."""
+        self.lexicon = Lexicon(stems)
+        self.arcs, self.states = compose(tuple(PARTS.values()))
+
+    def marked(self, words: Sequence[str]) -> Iterator[tuple[str, float, tuple[float, ...]]]:
+        state = 0
+        for word in words:
+            symbol, weight = self.lexicon.read(word)
+            state, marks = self.arcs[state, symbol]
+            yield symbol, weight, marks
+
+    def measured(self, text: str | None) -> list[tuple[int, int, list[float]]]:
+        """(start, end, measures) of the clauses that hold an insult or a threat."""
         if not text:
             return []
         low = text.lower()
@@ -140,20 +171,21 @@ class Scorer:
         out = []
         for m in CLAUSE.finditer(low):
             words = WORD.findall(m[0])
-            if heads.isdisjoint([w[:SHORTEST] for w in words]):
-                continue
-            state, total = self.machine.start, 0.0
-            for word in words:
-                symbol, weight = self.lexicon.read(word)
-                state, factor, bonus = self.machine.step(state, symbol)
-                total += factor * (weight + bonus)
-            if total > 0:
-                out.append((m.start(), m.end(), round(total, 6)))
+            if not heads.isdisjoint([w[:SHORTEST] for w in words]):
+                found = measures(self.marked(words))
+                if any(found):
+                    out.append((m.start(), m.end(), found))
         return out
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        weights = [w for _, _, w in self.clauses(text)]
-        return math.log1p(sum(weights)), math.log1p(max(weights, default=0.0))
+    def clauses(self, text: str | None) -> list[tuple[int, int, float]]:
+        """(start, end, weight) of the clauses that weigh something."""
+        return [(a, b, w) for a, b, found in self.measured(text) if (w := clause_weight(found)) > 0]
+
+
+def features(found: list[tuple[int, int, list[float]]]) -> list[float]:
+    """A document's features from the measures of its clauses."""
+    sums = [math.log1p(sum(f[j] for _, _, f in found)) for j in range(len(MEASURES))]
+    return [*sums, math.log1p(max((clause_weight(f) for _, _, f in found), default=0.0))]
 
 
 def prefix_counts(labelled: DataFrame) -> DataFrame:
@@ -193,7 +225,7 @@ def pick_stems(counted: list[tuple[str, int, int]], toxic: int, clean: int) -> d
         parent = p[:-2] if p.endswith(END) else p[:-1]
         longer[parent] = max(longer.get(parent, 0), t)
     best = {p: (t, c) for p, (t, c) in found.items() if longer.get(p, 0) < 0.9 * t}
-    ranked = sorted(best.items(), key=lambda x: (-weight(*x[1]) * math.sqrt(x[1][0]), x[0]))[:STEMS_MOST]
+    ranked = sorted(best.items(), key=lambda x: (-weight(*x[1]) * math.sqrt(x[1][0]), x[0]))
     stems: dict[str, float] = {}
     for p, (t, c) in sorted(ranked, key=lambda x: len(x[0])):
         if not any(p[:n] in stems for n in range(SHORTEST, len(p))):
@@ -201,21 +233,26 @@ def pick_stems(counted: list[tuple[str, int, int]], toxic: int, clean: int) -> d
     return stems
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Logistic weights (bias first) by Newton's method."""
+def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic weights (bias first) by Newton's method, drawn to the prior by a ridge."""
     a = np.column_stack((np.ones(len(x)), x))
-    w = np.zeros(a.shape[1])
+    w = prior.astype(float)
     penalty = np.diag([1e-3] + [ridge] * (a.shape[1] - 1))
-    for _ in range(30):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w = w + np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, a.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, a.T @ (y - p) - penalty @ (w - prior))
+        w = w + step * min(1.0, 5.0 / max(1e-12, float(np.abs(step).max())))
     return w
 
 
 @dataclass
 class Model:
     stems: dict[str, float]
-    weights: tuple[float, float, float] = (-4.0, 2.0, 2.0)
+    weights: tuple[float, ...] = PRIOR
+
+    def score(self, found: list[tuple[int, int, list[float]]]) -> float:
+        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], features(found)))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_most: int = SAMPLE_MOST, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -224,32 +261,32 @@ def train(docs: DataFrame, labels: DataFrame, sample_most: int = SAMPLE_MOST, fo
     chosen = labels.filter(F.col("toxic").isin(0, 1)).select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.filter(fold != 0).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample_most)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").withColumn("fold", fold)
-    rows = rows.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256)).agg(F.min_by(F.struct("text", "toxic", "fold"), "id").alias("r")).select("r.*")
+    # Read several times below: the labelled rows are few, so they are written once.
+    rows = table(rows.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256)).agg(F.min_by(F.struct("text", "toxic", "fold"), "id").alias("r")).select("r.*"), "labelled")
     seeds = {w + END: SEED_WEIGHT for w in INSULTS.split()}
     first, last = rows.filter(F.col("fold") < folds - 1), rows.filter(F.col("fold") == folds - 1)
     sizes = {r.toxic: r.n for r in first.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Model(seeds)
     base = sizes[1] / (sizes[0] + sizes[1])
-    # Prefixes that are clearly more frequent in toxic texts (six standard deviations), at most 20,000.
+    # Prefixes that are clearly more frequent in toxic texts (six standard deviations).
     n = F.col("t") + F.col("c")
     clear = (F.col("t") - n * base) / F.sqrt(n * base * (1 - base))
     odds = (F.col("t") + 2 * base) / (F.col("c") + 2 * (1 - base)) * ((1 - base) / base)
     counted = prefix_counts(first.select("text", "toxic")).filter((clear >= 6) & (odds > 3))
-    counted = counted.orderBy((odds * F.sqrt("t")).desc(), "prefix").limit(20_000).collect()
-    stems = seeds | pick_stems([(r.prefix, r.t, r.c) for r in counted], sizes[1], sizes[0])
+    stems = seeds | pick_stems([(r.prefix, r.t, r.c) for r in counted.collect()], sizes[1], sizes[0])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(stems)
         for batch in batches:
-            x = [scorer.features(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64()), batch.column(1)], ["a", "b", "toxic"])
+            x = [features(scorer.measured(t.as_py())) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
-    seen = last.select("text", "toxic").mapInArrow(measure, "a double, b double, toxic int").collect()
-    if len({r.toxic for r in seen}) < 2:
+    seen = sorted((r.toxic, r.x) for r in last.select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int").collect())
+    drop(rows)
+    if len({y for y, _ in seen}) < 2:
         return Model(stems)
-    seen.sort(key=tuple)
-    w = fit(np.array([(r.a, r.b) for r in seen]), np.array([float(r.toxic) for r in seen]))
+    w = fit(np.array([x for _, x in seen]), np.array([float(y) for y, _ in seen]), np.array(PRIOR))
     return Model(stems, tuple(round(float(v), 9) for v in w))
 
 
@@ -260,15 +297,12 @@ def score_toxicity(docs: DataFrame, model: Model, folds: int = 5, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.stems)
-        bias, a, b = model.weights
         for batch in batches:
             scores, clauses = [], []
             for text in batch.column(1):
-                found = scorer.clauses(text.as_py())
-                weights = [w for _, _, w in found]
-                z = bias + a * math.log1p(sum(weights)) + b * math.log1p(max(weights, default=0.0))
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-                clauses.append([{"start": s, "stop": e, "weight": w} for s, e, w in found])
+                found = scorer.measured(text.as_py())
+                scores.append(model.score(found))
+                clauses.append([{"start": a, "stop": b, "weight": clause_weight(f)} for a, b, f in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(clauses, kind)], ["id", "score", "clauses"])
 
     scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, score double, clauses array<struct<start:int,stop:int,weight:double>>")
