@@ -2,15 +2,16 @@
 
 The ratio compares two multinomials over hashed n-grams: the trusted target (labelled documents of good
 quality, at most `trusted_most` of them, taken in the order of a hash of the id) and the raw corpus
-(every document). The n-grams are those at the edges of words: the last three characters of each word,
-and the last two of a word with the first two of the next. A document's score is the mean over its
-n-grams of log(p_target / p_raw); it is kept when the score is at least `threshold`, which is fixed, so
+(every document). The n-grams are all words and all pairs of neighbouring words, by their hashes, which the
+base rules use as well. A document's score is the mean over its n-grams of log(p_target / p_raw); it is kept when the score is at least `threshold`, which is fixed, so
 the verdict on a document depends on nothing but the two multinomials and its text.
 
 Both multinomials have `buckets` entries, whatever the input, and are what the driver reads and puts
 into the scoring expression as a literal. Null texts have no words and fail the base rules, as do empty
-ones. Repeated rows get equal verdicts, an empty table gives an empty result, other columns pass
-through filter_quality() untouched. Without trusted rows every document scores 0.
+ones. Of an id with several rows each row is judged by its own text, and all of them are trusted if the id is;
+equal rows get equal verdicts, and a score equal to the threshold is kept. An empty table gives an empty
+result, other columns pass through filter_quality() untouched, whatever their names. Without trusted rows every
+document scores 0. A text is read whole and its words are arrays of one task.
 """
 
 from __future__ import annotations
@@ -22,15 +23,19 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, documents, let
 
-BUCKETS, THRESHOLD, TRUSTED_MOST = 4096, -0.3, 20_000
+BUCKETS, THRESHOLD, TRUSTED_MOST = 1 << 16, -0.12, 20_000
 
 
 def word_array(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def repeated_words(words: Column) -> Column:
-    """Number of words in 3-word windows that the text holds twice or more."""
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def repeated_words(hashes: Column) -> Column:
+    """Number of words, given by their hashes, in 3-word windows that the text holds twice or more."""
 
     def covered(starts: Column) -> Column:
         gaps = F.transform(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), lambda x, i: F.least(F.lit(3), x - F.get(starts, i)))
@@ -48,16 +53,15 @@ def repeated_words(words: Column) -> Column:
         first = F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0)))
         return let(F.transform(first, lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))), counted)
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
+    return windows(hashes)
 
 
-def grams(words: Column, buckets: int) -> Column:
-    """Buckets of the n-grams at the edges of words."""
+def grams(hashes: Column, buckets: int) -> Column:
+    """Buckets of all words, given by their hashes, and of all pairs of neighbouring words."""
     mod = F.lit(buckets).cast("bigint")
-    ends = F.transform(words, lambda w: F.pmod(F.xxhash64(F.substring(w, -3, 3)), mod).cast("int"))
-    first = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
-    joints = F.transform(first, lambda w, i: F.pmod(F.xxhash64(F.substring(w, -2, 2), F.substring(F.get(words, i + 1), 1, 2)), mod).cast("int"))
-    return F.concat(ends, joints)
+    ones = F.transform(hashes, lambda x: F.pmod(x, mod).cast("int"))
+    first = F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0)))
+    return F.concat(ones, F.transform(first, lambda x, i: F.pmod(F.xxhash64(x, F.get(hashes, i + 1)), mod).cast("int")))
 
 
 def multinomials(docs: DataFrame, trusted: DataFrame, buckets: int, trusted_most: int, id_col: str, text_col: str) -> DataFrame:
@@ -65,7 +69,7 @@ def multinomials(docs: DataFrame, trusted: DataFrame, buckets: int, trusted_most
     chosen = trusted.select(F.col(id_col).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(trusted_most).withColumn("__trusted", F.lit(1))
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     rows = rows.join(F.broadcast(chosen), "__id", "left").select("__trusted", word_array(F.col("__text")).alias("__words"))
-    return rows.select("__trusted", F.explode(let(F.col("__words"), lambda w: grams(w, buckets))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("raw"), F.count("__trusted").alias("target"))
+    return rows.select("__trusted", F.explode(let(word_hashes(F.col("__words")), lambda h: grams(h, buckets))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("raw"), F.count("__trusted").alias("target"))
 
 
 def weights(counts: DataFrame, buckets: int) -> list[float]:
@@ -77,20 +81,24 @@ def weights(counts: DataFrame, buckets: int) -> list[float]:
     return [round(math.log((found.get(g, (0, 0))[1] + 1) / (target + buckets)) - math.log((found.get(g, (0, 0))[0] + 1) / (raw + buckets)), 6) for g in range(buckets)]
 
 
-def score(words: Column, table: list[float]) -> Column:
+def score(hashes: Column, table: list[float]) -> Column:
     """Mean weight of a text's n-grams (0 without any)."""
     literal = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")
-    total = let(grams(words, len(table)), lambda g: F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(literal, x)) / F.greatest(F.size(g), F.lit(1)))
+    total = let(grams(hashes, len(table)), lambda g: F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(literal, x)) / F.greatest(F.size(g), F.lit(1)))
     return F.round(total, 9)
 
 
+def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
+
+
 def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD, trusted_most: int = TRUSTED_MOST) -> DataFrame:
     """One row per input row: the base counts, base_failed, llr and kept. trusted: rows with the ids of trusted documents."""
     table = weights(multinomials(docs, trusted, buckets, trusted_most, id_col, text_col), buckets)
     text = F.col("__text")
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    found = let(word_array(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeated_words(w).cast("bigint").alias("n_repeat_words"), score(w, table).alias("llr")))
+    found = let(word_hashes(word_array(text)), lambda h: F.struct(F.size(h).cast("bigint").alias("n_words"), repeated_words(h).cast("bigint").alias("n_repeat_words"), score(h, table).alias("llr")))
     rows = rows.select(
         "__id",
         found.alias("__f"),
@@ -98,7 +106,7 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
         (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
     )
-    failed = (F.col("__f.n_words") < 50) | (100 * F.col("__f.n_repeat_words") > 50 * F.col("__f.n_words"))
+    failed = base_failed(F.col("__f.n_words"), F.col("__f.n_repeat_words"))
     return rows.select(
         F.col("__id").alias(id_col), F.col("__f.n_words").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("__f.n_repeat_words").alias("n_repeat_words"),
         failed.alias("base_failed"), (~failed & (F.col("__f.llr") >= threshold)).alias("kept"), F.col("__f.llr").alias("llr"),
@@ -109,10 +117,12 @@ def trusted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
 
 
-def filter_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs' rows that are kept, with their columns."""
-    good = quality(docs, trusted, id_col=id_col, **options).filter("kept").select(F.col(id_col).alias("__good")).distinct()
-    return docs.join(good, docs[id_col] == F.col("__good"), "left_semi")
+def filter_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD, trusted_most: int = TRUSTED_MOST) -> DataFrame:
+    """docs' rows that are kept, with their columns: each is judged where it stands, so no text is shuffled and a null id is no matter."""
+    table = weights(multinomials(docs, trusted, buckets, trusted_most, id_col, text_col), buckets)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    kept = let(word_hashes(word_array(text)), lambda h: F.when(base_failed(F.size(h), repeated_words(h)), False).otherwise(score(h, table) >= threshold))
+    return docs.filter(kept)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

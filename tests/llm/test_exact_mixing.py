@@ -77,3 +77,39 @@ def test_hot_block_positions(spark):
         mine = [r for r in got if r.source == s]
         rate = mine[0].target / mine[0].source_size
         assert abs(sum(r.copies for r in mine) - rate * len(mine)) <= 1
+
+
+def test_repeated_rows_are_taken_on_their_own(spark):
+    rows = [(5, "a b c", "s", "1", ""), (5, "a b d", "s", "2", ""), (5, "a b c", "s", "1", ""), (5, "a b", "s", "3", ""), (None, "a b c", "s", "4", ""), (None, "x y z", "s", "5", "")]
+    rows += [(i, "w " * (i % 5), "t", "6", "") for i in range(10, 60)]
+    docs = docs_of(spark, rows)
+    n = mixing.copies(docs)
+    want = Counter()
+    for r in n.collect():
+        want[r.doc_id, r.source, r.size] += r.copies
+    mixed = mixing.mix(docs)
+    got = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in mixed.collect())
+    assert got == +want and mixed.columns == docs.columns
+    assert sum(c for (i, _, _), c in got.items() if i == 5) == sum(r.copies for r in n.filter("doc_id = 5").collect())
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_sparse_ids(spark):
+    docs = docs_of(spark, [(i * 10**12 + 7, "a b", "s" if i % 2 else "t", None, None) for i in range(400)])
+    got = mixing.copies(docs, weights=(1, 2)).collect()
+    for s in "st":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.copies for r in mine) - mine[0].target / 2) <= 1
+
+
+def test_mixing_equals_sql(spark):
+    """The SQL twin, on a table with null texts and sources and unique ids."""
+    import duckdb
+
+    rows = [(i, None if i % 17 == 0 else "w " * (i % 23), None if i % 7 == 0 else f"s{i % 5}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    want = {r[0]: r[1:] for r in db.execute(f"SELECT doc_id, taken, copies, target FROM ({mixing.SQL})").fetchall()}
+    for r in mixing.copies(docs).collect():
+        assert (r.taken, r.copies) == want[r.doc_id][:2] and abs(r.target - want[r.doc_id][2]) < 1e-6

@@ -1,5 +1,6 @@
 import math
 import re
+import struct
 from collections import Counter
 
 import xxhash
@@ -13,7 +14,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def xx(*parts):
     seed = 42
     for p in parts:
-        seed = xxhash.xxh64(p.encode(), seed=seed).intdigest()
+        seed = xxhash.xxh64(p.encode() if isinstance(p, str) else struct.pack("<q", p), seed=seed).intdigest()
     return seed - (1 << 64) if seed >= 1 << 63 else seed
 
 
@@ -29,8 +30,8 @@ def base(text):
 
 
 def gram_buckets(text, buckets):
-    w = WORD.findall(text or "")
-    return [xx(x[-3:]) % buckets for x in w] + [xx(a[-2:], b[:2]) % buckets for a, b in zip(w, w[1:])]
+    h = [xx(x) for x in WORD.findall(text or "")]
+    return [x % buckets for x in h] + [xx(a, b) % buckets for a, b in zip(h, h[1:])]
 
 
 def brute(docs, trusted, buckets=quality.BUCKETS, threshold=quality.THRESHOLD):
@@ -85,6 +86,13 @@ def test_whole_table(spark):
     assert right > 0.97
 
 
+def test_rows_of_one_id_are_judged_apart(spark):
+    good = " ".join(f"t{i}" for i in range(70))
+    docs = spark.createDataFrame([(1, good), (1, "short"), (None, good), (2, good)], "doc_id bigint, text string")
+    kept = quality.filter_quality(docs, spark.createDataFrame([(1,), (2,)], "doc_id bigint"))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, good), (1, good), (2, good)]
+
+
 def test_no_python_in_the_plan(spark):
     plan = quality.op4_quality_rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
