@@ -14,8 +14,9 @@ smaller id. Suffixes are ranked by growing prefixes and drop out as soon as thei
 
 The order of suffixes is only needed among equal prefixes, so names stand for ranks, and strings longer
 than `length` are never compared. Texts are UTF-8; null counts as empty. Rows without an id are left
-out. Rows that repeat an id are treated alike: none is smaller than the other. An empty table gives an
-empty result; other columns are ignored.
+out. Rows that repeat an id, with equal texts or different ones, are treated alike: none is smaller than the
+other. A text is one value of its task, which takes texts in parts of about 16 MB or one at a time. An empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +26,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, table
+from .common import documents, keyed, table
 from .shingles import _TABLE, _powers, mix
 
 FLUSH = 1 << 24
+#: Bits of a rank's name that tell its bucket.
+BUCKET_BITS = 31
+#: Where ids repeat with different texts, a row is told by its id's number and, in so many bits below it, by that of the text.
+VERSION_BITS = 20
 
 
 def slide(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
@@ -89,7 +94,7 @@ def texts(batches: Iterator[pa.RecordBatch], flush: int = FLUSH) -> Iterator[lis
         yield rows
 
 
-def send_ranks(length: int, buckets: int) -> Callable:
+def send_ranks(length: int, buckets: int, shift: int) -> Callable:
     """(id, data) -> (bucket, local, ids, keys): one row per rank with its smallest id; local: all ids of ranks met twice here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +108,7 @@ def send_ranks(length: int, buckets: int) -> Callable:
             new = np.ones(len(ids), bool)
             new[1:] = (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])
             again = np.ones(len(ids), bool)
-            again[1:] = new[1:] | (ids[1:] != ids[:-1])
+            again[1:] = new[1:] | (ids[1:] >> shift != ids[:-1] >> shift)
             group = np.cumsum(new) - 1
             many = np.bincount(group, weights=again)[group] > 1 if len(ids) else new
             out = {"bucket": [], "local": [], "ids": [], "keys": []}
@@ -117,8 +122,12 @@ def send_ranks(length: int, buckets: int) -> Callable:
     return run
 
 
-def shared_ranks(part: pa.Table) -> pa.Table:
+def shared_ranks(shift: int) -> Callable:
     """One bucket's rows -> (id, key) of the ranks that several documents have."""
+    return lambda part: _shared(part, shift)
+
+
+def _shared(part: pa.Table, shift: int) -> pa.Table:
     bucket = part["bucket"][0].as_py()
     sent: dict[bool, list] = {False: [], True: []}
     for local, ids, keys in zip(part["local"].to_pylist(), part["ids"], part["keys"]):
@@ -130,13 +139,13 @@ def shared_ranks(part: pa.Table) -> pa.Table:
     new[1:] = keys[1:] != keys[:-1]
     group = np.cumsum(new) - 1
     last = ids[np.append(np.flatnonzero(new)[1:] - 1, len(ids) - 1)]
-    use = ids[new][group] != last[group]
+    use = ids[new][group] >> shift != last[group] >> shift
     ids = np.concatenate([ids[use], *[x[0] for x in sent[True]]])
     keys = np.concatenate([keys[use], *[x[1] for x in sent[True]]]).astype(np.int64)
-    return pa.table({"id": ids, "key": (keys << 24) | bucket})
+    return pa.table({"id": ids, "key": (keys << BUCKET_BITS) | bucket})
 
 
-def settle(key: np.ndarray, around: np.ndarray, ids: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def settle(key: np.ndarray, around: np.ndarray, ids: np.ndarray, at: np.ndarray, length: int, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rank full-length strings around anchors of equal keys.
 
     around: fixed-width bytes, the text from `side` before the anchor to `side` behind it and two bytes
@@ -155,9 +164,9 @@ def settle(key: np.ndarray, around: np.ndarray, ids: np.ndarray, at: np.ndarray,
     smallest = ids[new][group]
     raw = np.frombuffer(around.tobytes(), np.uint8).reshape(n, -1)
     before, behind = raw[:, -2].astype(np.int64) - 1, raw[:, -1].astype(np.int64) - 1
-    shift = np.arange(side + 1)
-    valid = (shift <= before[:, None]) & (side - shift <= behind[:, None])
-    gone = valid & (ids > smallest)[:, None]
+    moved = np.arange(side + 1)
+    valid = (moved <= before[:, None]) & (side - moved <= behind[:, None])
+    gone = valid & (ids >> shift > smallest >> shift)[:, None]
     # Keys with several surroundings: compare string by string, one row for each surrounding.
     kinds = np.bincount(np.cumsum(new_key) - 1, weights=new)[np.cumsum(new_key) - 1]
     reps = np.flatnonzero(new & (kinds > 1))
@@ -174,7 +183,7 @@ def settle(key: np.ndarray, around: np.ndarray, ids: np.ndarray, at: np.ndarray,
             first = np.ones(len(o), bool)
             first[1:] = (key[r][o][1:] != key[r][o][:-1]) | (strings[o][1:] != strings[o][:-1])
             low = ids[r][o][first][np.cumsum(first) - 1]
-            better[ok[o], i] = ids[r][o] > low
+            better[ok[o], i] = ids[r][o] >> shift > low >> shift
         where = np.full(group[-1] + 1, -1, np.int64)
         where[group[reps]] = np.arange(len(reps))
         mine = where[group]
@@ -188,7 +197,7 @@ def settle(key: np.ndarray, around: np.ndarray, ids: np.ndarray, at: np.ndarray,
     return ids[row], at[row] - (last - 1), at[row] - first + length, keep
 
 
-def send_strings(length: int, buckets: int) -> Callable:
+def send_strings(length: int, buckets: int, shift: int) -> Callable:
     """(id, data, keys) -> rows for buckets (bucket, ids, keys, at, around), or stretches settled here (bucket below 0)."""
     half = length // 2
     side = length - half
@@ -199,7 +208,7 @@ def send_strings(length: int, buckets: int) -> Callable:
             for i, data, wanted in rows:
                 at, rank = anchors(data, length)
                 bucket, key = split(rank, buckets)
-                full = (key.astype(np.int64) << 24) | bucket
+                full = (key.astype(np.int64) << BUCKET_BITS) | bucket
                 use = np.isin(full, wanted.values.to_numpy(zero_copy_only=False))
                 at, full = at[use], full[use]
                 padded = np.concatenate((np.zeros(side, np.uint8), data, np.zeros(side, np.uint8)))
@@ -210,11 +219,11 @@ def send_strings(length: int, buckets: int) -> Callable:
             if not len(full):
                 continue
             around = np.ascontiguousarray(around).view(f"S{half + 2 * side + 2}").ravel()
-            gone, starts, ends, keep = settle(full, around, ids, at, length)
+            gone, starts, ends, keep = settle(full, around, ids, at, length, shift)
             full, around, ids, at = full[keep], around[keep], ids[keep], at[keep]
             settled = -1 - int(rows[0][0]) % buckets
             out = {"bucket": [settled], "ids": [gone.tobytes()], "keys": [b""], "at": [starts.tobytes()], "around": [ends.tobytes()]}
-            bucket = full & 0xFFFFFF
+            bucket = full & ((1 << BUCKET_BITS) - 1)
             order = np.lexsort((full, bucket))
             full, around, ids, at, bucket = full[order], around[order], ids[order], at[order], bucket[order]
             for b, s in by_bucket(bucket):
@@ -225,7 +234,7 @@ def send_strings(length: int, buckets: int) -> Callable:
     return run
 
 
-def settle_bucket(length: int) -> Callable:
+def settle_bucket(length: int, shift: int) -> Callable:
     """One bucket's rows -> (id, start, stop) of removed stretches."""
     width = length // 2 + 2 * (length - length // 2) + 2
 
@@ -237,7 +246,7 @@ def settle_bucket(length: int) -> Callable:
         if part["bucket"][0].as_py() < 0:
             starts, ends = at, column("around", "i8")
         else:
-            ids, starts, ends, _ = settle(column("keys", "i8"), column("around", f"S{width}"), ids, at, length)
+            ids, starts, ends, _ = settle(column("keys", "i8"), column("around", f"S{width}"), ids, at, length, shift)
         return pa.table({"id": ids, "start": starts, "stop": ends})
 
     return run
@@ -266,22 +275,30 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row with an id: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left)."""
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    named, names, _ = keyed(docs, id_col, text_col)
+    key, shift = F.col("__key"), 0
+    if names is not None:
+        least = F.min("__key").over(Window.partitionBy("id"))
+        names = table(names.select("__key", F.col("id").alias("__id"), (F.shiftleft(least, VERSION_BITS) + F.col("__key") - least).alias("__version")), "versions")
+        named, key, shift = named.join(names, "__key"), F.col("__version"), VERSION_BITS
+    rows = named.filter(F.col("__key").isNotNull()).select(key.alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
     first = rows.groupBy(F.sha2("data", 256).alias("sha")).agg(F.min("id").alias("id"), F.max(F.octet_length("data")).cast("bigint").alias("n"))
     first = table(first.groupBy("id").agg(F.sum("n").alias("n")), "first")
     total = first.agg(F.sum("n")).first()[0] or 0
-    # About 16k anchors a bucket, and at most 2^20 buckets, each of them then of about a millionth of all anchors.
-    buckets = int(min(1 << 20, max(64, total * 2 // length // 16384)))
+    # About 16k anchors a bucket; the names of buckets suffice for about 900 TB of different texts.
+    buckets = int(min((1 << BUCKET_BITS) - 1, max(64, total * 2 // length // 16384)))
     # The joins below all deal the texts by id, in one job: Spark shuffles them once and reuses that.
     own = rows.join(first.select("id"), "id", "left_semi")
-    sent = own.mapInArrow(send_ranks(length, buckets), "bucket bigint, local boolean, ids binary, keys binary")
-    shared = sent.groupBy("bucket").applyInArrow(shared_ranks, "id bigint, key bigint").groupBy("id").agg(F.collect_set("key").alias("keys"))
-    strings = own.join(shared, "id").mapInArrow(send_strings(length, buckets), "bucket bigint, ids binary, keys binary, at binary, around binary")
-    settled = strings.groupBy("bucket").applyInArrow(settle_bucket(length), "id bigint, start bigint, stop bigint")
+    sent = own.mapInArrow(send_ranks(length, buckets, shift), "bucket bigint, local boolean, ids binary, keys binary")
+    shared = sent.groupBy("bucket").applyInArrow(shared_ranks(shift), "id bigint, key bigint").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    strings = own.join(shared, "id").mapInArrow(send_strings(length, buckets, shift), "bucket bigint, ids binary, keys binary, at binary, around binary")
+    settled = strings.groupBy("bucket").applyInArrow(settle_bucket(length, shift), "id bigint, start bigint, stop bigint")
     gone = settled.groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     marked = rows.join(first.select("id", F.lit(True).alias("first")), "id", "left").join(gone, "id", "left")
     whole = F.col("first").isNull() & (F.octet_length("data") >= length)
     cut = marked.select("id", "data", whole.alias("whole"), "starts", "stops").mapInArrow(remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    if names is not None:
+        cut = cut.join(names.select(F.col("__version").alias("id"), "__id"), "id").select(F.col("__id").alias("id"), *[c for c in cut.columns if c != "id"])
     return cut.withColumnRenamed("id", id_col)
 
 

@@ -60,3 +60,13 @@ def test_empty_table_and_missing_ids(spark):
     schema = "doc_id bigint, text string"
     assert suffix_dedup.suffix_dedup(spark.createDataFrame([], schema)).count() == 0
     assert [r.doc_id for r in suffix_dedup.suffix_dedup(spark.createDataFrame([(None, "a" * 60), (1, "a" * 60)], schema)).collect()] == [1]
+
+
+def test_one_id_with_several_texts(spark):
+    r = random.Random(8)
+    part = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    shared, other = part(90), part(70)
+    rows = [(7, part(20) + shared + part(500)), (7, shared + part(3)), (7, other), (3, part(5) + other + part(9)), (9, shared), (9, shared), (12, part(200))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = suffix_dedup.suffix_dedup(docs)
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got.collect()) == brute(rows, 50)
