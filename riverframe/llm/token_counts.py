@@ -4,12 +4,15 @@ Every task keeps one tokenizer. Texts are cut into pieces at places where the pr
 starts anew, packed into batches of about equal bytes, encoded batch by batch, and summed per row, so
 memory depends on the batch size and not on the longest text.
 
-Nulls count as empty (0 bytes, 0 tokens). Repeated rows are counted each on their own, an empty table
-gives an empty result, and columns besides the id and the text are ignored.
+Nulls count as empty (0 bytes, 0 tokens). Repeated rows, and rows that repeat an id with another text, are
+counted each on their own; a null id stays null. A text without a safe place, such as one without spaces, is
+encoded whole. An empty table gives an empty result, and columns besides the id and the text are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -42,6 +45,18 @@ def _tokenizer(path: str):
     return lambda texts: [len(x) for x in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def splittable(path: str) -> bool:
+    """Whether texts may be cut before a space between ASCII letters: a .json tokenizer that only splits at bytes, adds no
+    space in front, normalizes nothing and has no added token with a space inside."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    pre = t.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True)
+    return bool(plain and not t.get("normalizer") and all(" " not in x["content"].strip() for x in t.get("added_tokens", [])))
+
+
 def pieces(text: str, limit: int) -> Iterator[str]:
     """Cut a text into pieces of about `limit` characters at safe places; a stretch without one stays whole."""
     start = 0
@@ -61,12 +76,13 @@ def packed(texts: Iterable[str | None], batch_bytes: int, splits: bool) -> Itera
     size = 0
     for i, text in enumerate(texts):
         for part in pieces(text, batch_bytes // 4) if text and splits else [text or ""]:
-            if size and size + len(part) > batch_bytes:
+            n_bytes = len(part) if part.isascii() else len(part.encode())
+            if size and size + n_bytes > batch_bytes:
                 yield rows, parts
                 rows, parts, size = [], [], 0
             rows.append(i)
             parts.append(part)
-            size += len(part)
+            size += n_bytes
     if rows:
         yield rows, parts
 
@@ -74,9 +90,9 @@ def packed(texts: Iterable[str | None], batch_bytes: int, splits: bool) -> Itera
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, batch_bytes: int = 1 << 20) -> DataFrame:
     """Rows (id, n_bytes, n_tokens, over_limit). tokenizer: path of a .json or .model file, present on every executor.
 
-    Only byte-level .json tokenizers are split at safe places; a .model encodes each text whole."""
+    Only byte-level .json tokenizers are split at safe places, see splittable(); others encode each text whole."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    splits = tokenizer.endswith(".json")
+    splits = splittable(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _tokenizer(tokenizer)

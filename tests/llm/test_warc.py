@@ -1,6 +1,10 @@
 import base64
+import gzip
 import hashlib
 import json
+import random
+import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -58,3 +62,51 @@ def test_odd_rows(spark):
     assert {bytes(r.block).decode() for r in got if r.type == "conversion"} == {"", "no head", "hi"}
     assert warc.derive(odd.limit(0)).count() == 0
     assert warc.derive(odd).filter(F.col("record_id").isNull()).count() == 0
+
+
+def by_patterns(page):
+    """The plain text by whole-page patterns, which are right but quadratic on broken pages."""
+    text = re.sub(r"<!--.*?-->|<(script|style|noscript|template|head)\b.*?</\1\s*>", " ", page, flags=re.S | re.I)
+    text = re.sub(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|blockquote|pre|title|body|main)\b[^>]*>", "\n", text, flags=re.I)
+    import html
+
+    lines = (" ".join(x.split()) for x in html.unescape(re.sub(r"<[^>]*>", "", text)).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
+def test_text_equals_patterns_on_every_page(spark):
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        assert warc.scan(r.html or "")[0] == by_patterns(r.html or "")
+    r = random.Random(4)
+    parts = ["<p>", "</p>", "a b", "<br/>", "<script>x</script>", "<!-- c -->", "&amp;", "<a href=x>", "</a>", "<STYLE>y</style >", "<b>", "\n", "<h1 id='q'>", "é"]
+    for _ in range(300):
+        page = "".join(r.choice(parts) for _ in range(r.randrange(12)))
+        assert warc.scan(page)[0] == by_patterns(page)
+
+
+def test_broken_pages_take_linear_time():
+    for part in ("<a ", "<!--", "<", "<script", "<title", "<script>", "<a href='", "</script "):
+        began = time.time()
+        warc.scan(part * 200_000)
+        warc.title_of(part * 200_000)
+        assert time.time() - began < 5
+
+
+def test_damaged_files_are_told(spark, tmp_path):
+    rows = [r.asDict() for r in warc.derive(warc.responses_of(spark.createDataFrame([(1, "u", "<p>one</p>"), (2, "v", "two")], "page_id bigint, url string, html string"))).collect()]
+    whole = [warc.serialize(r) for r in rows]
+    ids = [r["record_id"] for r in rows]
+    for data, want in (
+        (b"".join(whole), ids),
+        (whole[0] + b"junk here\r\n" + whole[1], [ids[0], None, ids[1]]),
+        (whole[0] + whole[1][:-30], [ids[0], None]),
+        (b"WARC/1.1\r\nContent-Length: x\r\n\r\nrest\r\n" + whole[2], [None, ids[2]]),
+        (b"WARC/1.1\r\nWARC-Type: \xff\r\nContent-Length: 2\r\n\r\nok\r\n\r\n", [None]),
+        (b"", []),
+    ):
+        assert [r["record_id"] for r in warc.parse(data)] == want
+    assert [r["type"] for r in warc.parse(whole[0] + b"junk")] == [rows[0]["type"], "unreadable"]
+    packed = gzip.compress(whole[0]) + gzip.compress(whole[1])
+    (tmp_path / "cut.warc.gz").write_bytes(packed[:-12])
+    got = warc.read_records(spark, str(tmp_path / "cut.warc.gz")).collect()
+    assert got[0].record_id == ids[0] and got[-1].type == "unreadable"
