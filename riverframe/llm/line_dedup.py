@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, drop, keyed, let, size_at_most, table
 
-WORDS, NUM, DEN, MIN_WORDS = 5, 80, 100, 3
+WORDS, NUM, DEN, MIN_WORDS = 5, 80, 100, 1
 BUCKET_BITS, LOW_BITS = 14, 49
 #: Most bytes of line numbers that may be broadcast to meet their texts; more are joined by a shuffle.
 BROADCAST_MOST = 8 << 20
@@ -171,7 +171,7 @@ w AS (SELECT doc_id, pos, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') A
 s AS (
   SELECT doc_id, pos, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
-  FROM w WHERE len(w) >= 3
+  FROM w WHERE len(w) >= 1
 ),
 t AS (SELECT doc_id, pos, len(s) AS n, unnest(s) AS t FROM s),
 gone AS (

@@ -6,7 +6,7 @@ from riverframe.llm import line_dedup
 
 def tokens(line):
     w = re.findall(r"[^\x20\x09-\x0D]+", line.lower())
-    if len(w) < 3:
+    if not w:
         return None
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
 
