@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 LON_M, LAT_M, EARTH_KM = 111_320.0, 110_540.0, 6371.0
 # Ellipsoids (a, 1/f) and datum shifts to WGS84 (ellipsoid, dx, dy, dz).
 ELLIPSOIDS = {"WGS84": (6378137.0, 298.257223563), "GRS80": (6378137.0, 298.257222101), "INTL24": (6378388.0, 297.0), "SA69": (6378160.0, 298.25)}
-DATUMS = {"WGS84": ("WGS84", 0.0, 0.0, 0.0), "SIRGAS": ("GRS80", 0.0, 0.0, 0.0), "PSAD56": ("INTL24", -288.0, 175.0, -376.0), "SAD69": ("SA69", -57.0, 1.0, -41.0)}
+DATUMS = {"WGS84": ("WGS84", 0.0, 0.0, 0.0), "SIRGAS": ("GRS80", 0.0, 0.0, 0.0), "PSAD56": ("INTL24", -270.0, 188.0, -388.0), "PSAD56_NORTH": ("INTL24", -279.0, 175.0, -379.0), "SAD69": ("SA69", -59.0, -11.0, -52.0)}
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -40,12 +40,19 @@ def muskingum_weights(k: float, x: float, dt: float) -> tuple[float, float, floa
 
 def route(inflow: np.ndarray, k: float, x: float, dt: float, first: float | None = None) -> np.ndarray:
     c0, c1, c2 = muskingum_weights(k, x, dt)
-    out = np.empty(len(inflow))
-    last = inflow[0] if first is None else first
-    for i, q in enumerate(inflow):
-        last = last if i == 0 else c0 * q + c1 * inflow[i - 1] + c2 * last
-        out[i] = last
-    return out
+    own = np.empty(len(inflow))
+    own[:1] = inflow[:1] if first is None else first
+    own[1:] = c0 * inflow[1:] + c1 * inflow[:-1]
+    return decay(own, c2)
+
+
+def decay(own: np.ndarray, keep: float) -> np.ndarray:
+    """y[i] = own[i] + keep * y[i - 1], in log2(n) passes over the whole series: after k of them y[i] holds the last 2^k terms."""
+    y, step = np.array(own, float), 1
+    while step < len(y) and keep:
+        y[step:] += keep * y[:-step].copy()
+        keep, step = keep * keep, 2 * step
+    return y
 
 
 def muskingum(series: DataFrame, keys: Sequence[str], k: float, x: float, dt: float, step: str = "step", flow: str = "q") -> DataFrame:
@@ -80,10 +87,7 @@ def linear_reservoir(series: DataFrame, keys: Sequence[str], hours: float, dt: f
     def f(p: pd.DataFrame) -> dict[str, np.ndarray]:
         q = p[flow].to_numpy(float)
         a = dt / (hours * 3600 + 0.5 * dt)
-        out = np.zeros(len(q))
-        for i in range(1, len(q)):
-            out[i] = a * q[i] + (1 - a) * out[i - 1]
-        return {"inflow": q, "outflow": out}
+        return {"inflow": q, "outflow": decay(np.where(np.arange(len(q)) > 0, a * q, 0.0), 1 - a)}
 
     return per_series(series, keys, step, "inflow double, outflow double", f)
 

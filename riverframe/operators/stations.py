@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..tables import cut
 
-#: Most points whose table may be broadcast to the stations; more are joined by grid cells.
-POINTS_MOST = 1_000_000
+#: Radius that nearest() looks in first, by how much it grows, and half the way round the earth, beyond which nothing lies.
+FIRST_KM, GROWTH, HALF_WAY_KM = 60.0, 4.0, 20_040.0
 
 
 def near(points: DataFrame, stations: DataFrame, radius_km: float, cell_degrees: float | None = None) -> DataFrame:
@@ -19,11 +19,12 @@ def near(points: DataFrame, stations: DataFrame, radius_km: float, cell_degrees:
 
     points (point_id, lat, lon), stations (station_id, lat, lon, ...). Near the poles cells of longitude
     grow with 1 / cos(lat), so the reach in cells is taken per point. Across the 180th meridian cells wrap."""
-    size = cell_degrees or max(0.05, radius_km / 111.0)
+    # Columns of cells go round evenly, so none is narrower than the others.
+    size = 360 / max(1, int(360 / (cell_degrees or max(0.05, radius_km / 111.0))))
     reach = lambda degrees: F.ceil(degrees / size).cast("int")
     dlat = F.lit(radius_km / 110.0)
     dlon = F.least(F.lit(180.0), dlat / F.greatest(F.cos(F.radians(F.least(F.lit(89.0), F.abs("p_lat") + dlat))), F.lit(0.01)))
-    columns = int(360 / size + 0.999)
+    columns = round(360 / size)
     p = points.select(F.col("point_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
     rows, cols = F.floor((F.col("p_lat") + 90) / size).cast("int"), F.floor((F.col("p_lon") + 180) / size).cast("int")
     p = p.withColumn("r", F.explode(F.sequence(rows - reach(dlat), rows + reach(dlat)))).withColumn("c", F.explode(F.array_distinct(F.transform(F.sequence(cols - reach(dlon), cols + reach(dlon)), lambda x: F.pmod(x, F.lit(columns))))))
@@ -32,16 +33,28 @@ def near(points: DataFrame, stations: DataFrame, radius_km: float, cell_degrees:
     return p.join(s, ["r", "c"]).withColumn("km", distance).filter(F.col("km") <= radius_km).drop("r", "c")
 
 
-def nearest(points: DataFrame, stations: DataFrame, n: int, tie: Sequence[str] = ("station_id",)) -> DataFrame:
+def nearest(points: DataFrame, stations: DataFrame, n: int, tie: Sequence[str] = ("station_id",), first_km: float = FIRST_KM) -> DataFrame:
     """The n nearest stations of every point: (point_id, rank, km, station columns).
 
-    The catalogue is the side that is bounded (it is a national list, not a measurement table), so it is
-    broadcast and every point is held against it; the n best are kept by a grouped top-k."""
-    p = points.select("point_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    km = geo.haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))
-    pairs = p.join(F.broadcast(stations), F.lit(True)).withColumn("km", km)
-    w = Window.partitionBy("point_id").orderBy("km", *tie)
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).drop("p_lat", "p_lon")
+    Points look into the grid cells within a radius; those that meet n stations there are done, as nothing
+    nearer lies outside, and only the others look again within a larger one. Each round is an equi-join on cells;
+    what it settles is written, and the number of rounds is the logarithm of the widest gap."""
+    left, radius = points.select("point_id", "lat", "lon"), first_km
+    enough = min(n, stations.count())
+    order = Window.partitionBy("point_id").orderBy("km", *tie)
+    out = None
+    while True:
+        met = near(left, stations, radius).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+        met = met.withColumn("__met", F.count(F.lit(1)).over(Window.partitionBy("point_id"))).drop("p_lat", "p_lon")
+        last = radius >= HALF_WAY_KM
+        done = cut(met.filter(F.lit(last) | (F.col("__met") >= enough)).drop("__met"))
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        left = cut(left.join(done.select("point_id").distinct(), "point_id", "left_anti"))
+        if left.isEmpty():
+            return out
+        radius = min(radius * GROWTH, HALF_WAY_KM)
 
 
 def recommended(ranked: DataFrame, years: str = "n_years", least_years: int = 15) -> DataFrame:

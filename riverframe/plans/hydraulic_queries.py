@@ -54,14 +54,13 @@ def sediment_transport(spark, sf_dir):
     )
 
 
-@query(f"""WITH RECURSIVE {b.CASES}, c AS (SELECT {KEYS}, q / 10 AS q, b, j FROM cas WHERE l_orderkey % 20 = 0),
+@query(f"""WITH RECURSIVE {b.CASES}, c AS (SELECT {KEYS}, q / 10 AS q, b, j FROM cas),
 r AS (SELECT *, 0 AS i, 0.0::DOUBLE AS lo, 200.0::DOUBLE AS hi FROM c UNION ALL
   SELECT {KEYS}, q, b, j, i + 1, CASE WHEN small THEN mid ELSE lo END, CASE WHEN small THEN hi ELSE mid END FROM (SELECT *, (lo + hi) / 2 AS mid,
     b * ((lo + hi) / 2) * power(b * ((lo + hi) / 2) / (b + 2 * ((lo + hi) / 2)), 2.0 / 3) * sqrt(j) / 0.035 < q AS small FROM r WHERE i < 80))
 SELECT {KEYS}, round((lo + hi) / 2, 6) AS depth FROM r WHERE i = 80""")
 def rectangular_normal_depth(spark, sf_dir):
-    """Design cases are those of every 20th order (an analysis set, not a sample of rows)."""
-    c = b.flow_cases(spark, sf_dir).filter("l_orderkey % 20 = 0")
+    c = b.flow_cases(spark, sf_dir)
     return c.select(*KEY, F.round(river.rectangular_normal_depth(F.col("q") / 10, F.col("b"), F.lit(0.035), F.col("j")), 6).alias("depth"))
 
 
