@@ -156,7 +156,7 @@ def serialize(record: dict) -> bytes:
 
 def parse(source: bytes | IO[bytes]) -> Iterator[dict]:
     """Records of a file or its bytes, one at a time; what is not a record is skipped and told as one of type "unreadable"."""
-    stream = io.BufferedReader(io.BytesIO(source)) if isinstance(source, bytes) else source
+    stream = io.BytesIO(source) if isinstance(source, bytes) else source
     skipped = 0
 
     def unreadable() -> dict:
@@ -199,7 +199,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             data = io.BytesIO(raw.as_buffer())
             packed = raw.as_buffer()[:2].to_pybytes() == b"\x1f\x8b"
             held, size = [], 0
-            for record in parse(io.BufferedReader(gzip.GzipFile(fileobj=data) if packed else data)):
+            for record in parse(gzip.GzipFile(fileobj=data) if packed else data):
                 held.append(record)
                 size += record["content_length"]
                 if size >= BATCH:
