@@ -11,6 +11,8 @@ smaller id. Suffixes are ranked by growing prefixes and drop out as soon as thei
 3. Double: around each anchor left, strings of the full length are ranked by their bytes. Equal
    surroundings are settled as one, others string by string; each occurrence above the smallest id of
    its rank is removed. Again tasks settle what they can before they send rows on.
+4. Buckets of more than HOT rows hold a rank whose surroundings differ almost everywhere. No task takes such
+   a bucket: Spark groups its full-length strings one by one for their smallest ids and joins those back.
 
 The order of suffixes is only needed among equal prefixes, so names stand for ranks, and strings longer
 than `length` are never compared. Texts are UTF-8; null counts as empty. Rows without an id are left
@@ -29,12 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, keyed, table
+from .common import documents, drop, keyed, size_at_most, table
 from .shingles import _TABLE, _powers, mix
 
 FLUSH = 1 << 24
 #: Bits of a rank's name that tell its bucket.
 BUCKET_BITS = 31
+#: Most rows of a bucket that one task settles; a bucket holds about 16,000 anchors before any rank drops out.
+HOT = 1 << 17
+#: Most bytes of bucket numbers that are broadcast; more are joined by a shuffle.
+BROADCAST_MOST = 8 << 20
 #: Where ids repeat with different texts, a row is told by its id's number and, in so many bits below it, by that of the text.
 VERSION_BITS = 20
 
@@ -95,7 +101,8 @@ def texts(batches: Iterator[pa.RecordBatch], flush: int = FLUSH) -> Iterator[lis
 
 
 def send_ranks(length: int, buckets: int, shift: int) -> Callable:
-    """(id, data) -> (bucket, local, ids, keys): one row per rank with its smallest id; local: all ids of ranks met twice here."""
+    """(id, data) -> (bucket, ids, keys): ranks with their smallest ids by bucket; in one row of a bucket below 0 all ids
+    of the ranks met twice here, which are shared whatever other tasks hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in texts(batches):
@@ -111,13 +118,14 @@ def send_ranks(length: int, buckets: int, shift: int) -> Callable:
             again[1:] = new[1:] | (ids[1:] >> shift != ids[:-1] >> shift)
             group = np.cumsum(new) - 1
             many = np.bincount(group, weights=again)[group] > 1 if len(ids) else new
-            out = {"bucket": [], "local": [], "ids": [], "keys": []}
-            for local, use in ((False, new), (True, many & again)):
-                b, k, i = bucket[use], key[use], ids[use]
-                for at, s in by_bucket(b):
-                    for name, value in (("bucket", at), ("local", local), ("ids", i[s].tobytes()), ("keys", k[s].tobytes())):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int64()), ("local", pa.bool_()), ("ids", pa.binary()), ("keys", pa.binary())]))
+            use = many & again
+            passed = -1 - int(rows[0][0]) % buckets
+            out = {"bucket": [passed], "ids": [ids[use].tobytes()], "keys": [bucket[use].astype(np.uint32).tobytes() + key[use].tobytes()]}
+            bucket, key, ids = bucket[new], key[new], ids[new]
+            for b, s in by_bucket(bucket):
+                for name, value in (("bucket", b), ("ids", ids[s].tobytes()), ("keys", key[s].tobytes())):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("keys", pa.binary())]))
 
     return run
 
@@ -129,10 +137,12 @@ def shared_ranks(shift: int) -> Callable:
 
 def _shared(part: pa.Table, shift: int) -> pa.Table:
     bucket = part["bucket"][0].as_py()
-    sent: dict[bool, list] = {False: [], True: []}
-    for local, ids, keys in zip(part["local"].to_pylist(), part["ids"], part["keys"]):
-        sent[local].append((np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(keys.as_buffer(), np.uint32)))
-    ids, keys = (np.concatenate([x[j] for x in sent[False]]) for j in (0, 1))
+    found = [(np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(k.as_buffer(), np.uint32)) for i, k in zip(part["ids"], part["keys"])]
+    ids = np.concatenate([i for i, _ in found])
+    if bucket < 0:
+        full = [(k[len(i) :].astype(np.int64) << BUCKET_BITS) | k[: len(i)] for i, k in found]
+        return pa.table({"id": ids, "key": np.concatenate(full)})
+    keys = np.concatenate([k for _, k in found])
     order = np.lexsort((ids, keys))
     ids, keys = ids[order], keys[order]
     new = np.ones(len(ids), bool)
@@ -140,9 +150,7 @@ def _shared(part: pa.Table, shift: int) -> pa.Table:
     group = np.cumsum(new) - 1
     last = ids[np.append(np.flatnonzero(new)[1:] - 1, len(ids) - 1)]
     use = ids[new][group] >> shift != last[group] >> shift
-    ids = np.concatenate([ids[use], *[x[0] for x in sent[True]]])
-    keys = np.concatenate([keys[use], *[x[1] for x in sent[True]]]).astype(np.int64)
-    return pa.table({"id": ids, "key": (keys << BUCKET_BITS) | bucket})
+    return pa.table({"id": ids[use], "key": (keys[use].astype(np.int64) << BUCKET_BITS) | bucket})
 
 
 def settle(key: np.ndarray, around: np.ndarray, ids: np.ndarray, at: np.ndarray, length: int, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -252,6 +260,39 @@ def settle_bucket(length: int, shift: int) -> Callable:
     return run
 
 
+def spread(length: int) -> Callable:
+    """(ids, at, around) of hot buckets -> (string, id, start): each full-length string around an anchor."""
+    half = length // 2
+    side = length - half
+    width = half + 2 * side + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in zip(*batch.columns):
+                ids, at, around = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(packed, (np.int64, np.int64, np.uint8)))
+                raw = around.reshape(-1, width)
+                before, behind = raw[:, -2].astype(np.int64) - 1, raw[:, -1].astype(np.int64) - 1
+                for i in range(side + 1):
+                    ok = np.flatnonzero((i <= before) & (side - i <= behind))
+                    strings = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(ok), [None, pa.py_buffer(raw[ok, side - i : side - i + length].tobytes())])
+                    yield pa.RecordBatch.from_arrays([strings.cast(pa.binary()), pa.array(ids[ok]), pa.array(at[ok] - i)], ["string", "id", "start"])
+
+    return run
+
+
+def removed(strings: DataFrame, length: int, shift: int, hot_rows: int) -> DataFrame:
+    """(id, start, stop) of the removed stretches in the table of strings by bucket."""
+    rows = strings.filter("bucket >= 0").groupBy("bucket").agg(F.sum(F.octet_length("ids") / 8).alias("n"))
+    hot = table(rows.filter(F.col("n") > hot_rows).select("bucket"), "hot")
+    if size_at_most(hot, F.lit(8), BROADCAST_MOST):
+        hot = F.broadcast(hot)
+    settled = strings.join(hot, "bucket", "left_anti").groupBy("bucket").applyInArrow(settle_bucket(length, shift), "id bigint, start bigint, stop bigint")
+    single = strings.join(hot, "bucket", "left_semi").select("ids", "at", "around").mapInArrow(spread(length), "string binary, id bigint, start bigint")
+    least = single.groupBy("string").agg(F.min("id").alias("least"))
+    later = single.join(least, "string").filter(F.shiftright("id", shift) > F.shiftright("least", shift))
+    return settled.union(later.select("id", "start", (F.col("start") + length).alias("stop")))
+
+
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, data, whole, starts, stops) -> (id, n_bytes, n_removed, n_spans, kept_sha256, kept)."""
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -273,7 +314,7 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:4]], pa.array(out[4], pa.string()), pa.array(out[5], pa.binary())], names)
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT) -> DataFrame:
     """One row per input row with an id: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left)."""
     named, names, _ = keyed(docs, id_col, text_col)
     key, shift = F.col("__key"), 0
@@ -287,13 +328,13 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     total = first.agg(F.sum("n")).first()[0] or 0
     # About 16k anchors a bucket; the names of buckets suffice for about 900 TB of different texts.
     buckets = int(min((1 << BUCKET_BITS) - 1, max(64, total * 2 // length // 16384)))
-    # The joins below all deal the texts by id, in one job: Spark shuffles them once and reuses that.
+    # Both joins of this table deal the texts by id, in one job: Spark shuffles them once and reuses that.
     own = rows.join(first.select("id"), "id", "left_semi")
-    sent = own.mapInArrow(send_ranks(length, buckets, shift), "bucket bigint, local boolean, ids binary, keys binary")
+    sent = own.mapInArrow(send_ranks(length, buckets, shift), "bucket bigint, ids binary, keys binary")
     shared = sent.groupBy("bucket").applyInArrow(shared_ranks(shift), "id bigint, key bigint").groupBy("id").agg(F.collect_set("key").alias("keys"))
-    strings = own.join(shared, "id").mapInArrow(send_strings(length, buckets, shift), "bucket bigint, ids binary, keys binary, at binary, around binary")
-    settled = strings.groupBy("bucket").applyInArrow(settle_bucket(length, shift), "id bigint, start bigint, stop bigint")
-    gone = settled.groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    strings = table(own.join(shared, "id").mapInArrow(send_strings(length, buckets, shift), "bucket bigint, ids binary, keys binary, at binary, around binary"), "strings")
+    gone = table(removed(strings, length, shift, hot_rows).groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")), "gone")
+    drop(strings)
     marked = rows.join(first.select("id", F.lit(True).alias("first")), "id", "left").join(gone, "id", "left")
     whole = F.col("first").isNull() & (F.octet_length("data") >= length)
     cut = marked.select("id", "data", whole.alias("whole"), "starts", "stops").mapInArrow(remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")

@@ -70,3 +70,15 @@ def test_one_id_with_several_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = suffix_dedup.suffix_dedup(docs)
     assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got.collect()) == brute(rows, 50)
+
+
+@pytest.mark.parametrize("hot_rows", [0, 40])
+def test_hot_buckets_are_settled_string_by_string(spark, hot_rows):
+    r = random.Random(9)
+    part = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    common = part(30)
+    rows = [(i, part(r.randrange(60)) + common + part(r.randrange(60))) for i in range(150)]
+    rows += [(200 + i, rows[i][1][-60:] + part(5)) for i in range(40)] + [(300, "b" * 500), (301, "b" * 200 + "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = suffix_dedup.suffix_dedup(docs, hot_rows=hot_rows)
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got.collect()) == brute(rows, 50)
