@@ -11,7 +11,8 @@ repeats included (`op13_search` states the figures). All queries are answered to
 3. A query's terms stand by their highest possible contribution. Terms whose contributions from there to the end
    add up to less than the threshold are pruned: a document that holds only such terms cannot rank.
 4. The other terms are joined with their postings. Documents whose sum, with all that pruned terms could add,
-   reaches the threshold are candidates; these are scored exactly over all terms, and the best k are kept.
+   reaches the threshold are candidates. The kth of their sums raises the threshold once more; those that still
+   reach it are scored exactly over all terms, and the best k are kept.
 
 Thresholds, bounds and scores are whole numbers, so nothing is lost to rounding, and ties at the kth score stay
 among the candidates.
@@ -141,7 +142,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
         met = postings.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
     sums = met.groupBy("item", "doc").agg(F.sum(F.col("qw") * F.col("impact")).alias("partial"))
     rest = F.broadcast(rest) if small else rest
-    candidates = table(sums.join(rest, "item").filter(F.col("partial") + F.col("rest") >= F.col("threshold")).select("item", "doc"), "candidates")
+    candidates = table(sums.join(rest, "item").filter(F.col("partial") + F.col("rest") >= F.col("threshold")).select("item", "doc", "partial", "rest"), "candidates")
+    # What candidates have so far bounds the kth score from below as well, and closer.
+    closer = kth(candidates.select("item", F.col("partial").alias("score")))
+    closer = F.broadcast(closer) if small else closer
+    candidates = table(candidates.join(closer, "item").filter(F.col("threshold").isNull() | (F.col("partial") + F.col("rest") >= F.col("threshold"))).select("item", "doc"), "rescored")
 
     final = scored(candidates).filter("score > 0").join(texts.select("doc", F.col("id").alias("__id")), "doc")
     best = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("__id"), "doc")
