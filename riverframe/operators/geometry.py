@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .axes import nearest_segment  # noqa: F401
 
 
 def resample(lines: DataFrame, keys: Sequence[str], n: int, ring: str = "line") -> DataFrame:
@@ -37,17 +38,6 @@ def cross_line(points: DataFrame, width: float, n: int = 81) -> DataFrame:
     return rows.select("section_id", "i", "s", (F.col("lon") + off * F.sin(across) / (geo.LON_M * F.cos(F.radians("lat")))).alias("lon"), (F.col("lat") + off * F.cos(across) / geo.LAT_M).alias("lat"))
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each point (keys, point_id, x, y) on the nearest of its keys' segments (segment, x1, y1, x2, y2): chainage share t and distance; the first of equals."""
-    x, y, x1, y1, x2, y2 = (F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))
-    l2 = (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / F.when(l2 > 0, l2).otherwise(1.0)))
-    rows = points.join(segments, list(keys)).withColumn("t", t)
-    d = F.hypot(x - (x1 + F.col("t") * (x2 - x1)), y - (y1 + F.col("t") * (y2 - y1)))
-    best = rows.groupBy(*keys, "point_id").agg(F.min(F.struct(d.alias("distance"), "segment", "t")).alias("b"))
-    return best.select(*keys, "point_id", "b.segment", "b.t", "b.distance")
-
-
 def rasterize_tin(triangles: DataFrame, keys: Sequence[str], x0: float, y0: float, cell: float) -> DataFrame:
     """Heights of cell centres inside triangles (tri, x1..z3): (keys, row, col, z). The last triangle that covers a cell wins.
 

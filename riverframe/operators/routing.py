@@ -312,17 +312,19 @@ def time_area(n: int) -> np.ndarray:
 
 
 def modclark(rain: DataFrame, keys: Sequence[str], tc_h: float, r_h: float, area: float, dt: float, bias: float = 0.0, step: str = "step", pe: str = "pe") -> DataFrame:
-    """Effective rain over time-area bands with a linear bias, then a linear reservoir: (keys, step, inflow, outflow)."""
-    n = max(2, int(np.floor(tc_h * 3600 / dt + 0.5)))
-    w = 1 + bias * (1 - 2 * np.arange(n) / max(1, n - 1))
-    u = time_area(n) * np.maximum(0.0, w / (w.mean() or 1)) * area * 1e3 / dt
+    """Effective rain over time-area bands, then a linear reservoir: (keys, step, inflow, outflow).
+
+    bias tilts the bands from 1 + bias at the outlet to 1 - bias at the head; such a ramp has the mean 1 as it is.
+    Flow is followed until six steps after the last band."""
+    bands = max(2, int(np.floor(tc_h * 3600 / dt + 0.5)))
+    tilt = np.linspace(1 + bias, 1 - bias, bands).clip(0)
+    unit = time_area(bands) * tilt * area * 1e3 / dt
+    share = dt / (r_h * 3600 + 0.5 * dt)
 
     def f(p: pd.DataFrame) -> dict[str, np.ndarray]:
-        i = np.concatenate((np.convolve(p[pe].to_numpy(float), u), np.zeros(6)))
-        a = dt / (r_h * 3600 + 0.5 * dt)
-        out = np.zeros(len(i))
-        for j in range(1, len(i)):
-            out[j] = a * i[j] + (1 - a) * out[j - 1]
-        return {"inflow": i, "outflow": out}
+        inflow = np.pad(np.convolve(p[pe].to_numpy(float), unit), (0, 6))
+        held = share * inflow
+        held[:1] = 0.0
+        return {"inflow": inflow, "outflow": decay(held, 1 - share)}
 
     return per_series(rain, keys, step, "inflow double, outflow double", f)

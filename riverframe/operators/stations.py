@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..tables import cut
+from ..tables import cut, drop
 
-#: Radius that nearest() looks in first, by how much it grows, and half the way round the earth, beyond which nothing lies.
-FIRST_KM, GROWTH, HALF_WAY_KM = 60.0, 4.0, 20_040.0
+#: Points that a smallest tile of nearest() holds on average, how often a tile is divided each way at a time, and km of a degree of a great circle, rounded up.
+POINTS, PARTS, DEGREE_KM = 64, 4, 111.2
 
 
 def near(points: DataFrame, stations: DataFrame, radius_km: float, cell_degrees: float | None = None) -> DataFrame:
@@ -33,28 +34,45 @@ def near(points: DataFrame, stations: DataFrame, radius_km: float, cell_degrees:
     return p.join(s, ["r", "c"]).withColumn("km", distance).filter(F.col("km") <= radius_km).drop("r", "c")
 
 
-def nearest(points: DataFrame, stations: DataFrame, n: int, tie: Sequence[str] = ("station_id",), first_km: float = FIRST_KM) -> DataFrame:
+def nearest(points: DataFrame, stations: DataFrame, n: int, tie: Sequence[str] = ("station_id",), levels: int | None = None) -> DataFrame:
     """The n nearest stations of every point: (point_id, rank, km, station columns).
 
-    Points look into the grid cells within a radius; those that meet n stations there are done, as nothing
-    nearer lies outside, and only the others look again within a larger one. Each round is an equi-join on cells;
-    what it settles is written, and the number of rounds is the logarithm of the widest gap."""
-    left, radius = points.select("point_id", "lat", "lon"), first_km
-    enough = min(n, stations.count())
+    Points fall into tiles of latitude and longitude that are divided step by step. If the n-th nearest station of
+    a tile's centre is D away and no point of the tile is farther than h from it, the n nearest of any of its points
+    lie within D + 2h of the centre: a tile looks only among what its parent has left and keeps what lies within
+    that. Each point then ranks the few stations of its smallest tile. Stations and tables of tiles are written
+    once. Points without a position give no row; all stations take part where there are fewer than n."""
+    stations = cut(stations.filter("lat is not null and lon is not null"))
+    many, most = points.count(), stations.count()
+    if levels is None:
+        levels = 0 if most <= 4 * n else max(1, math.ceil(math.log(max(1, many / POINTS), PARTS * PARTS)))
+    parts = PARTS**levels
+    at = lambda v, low, span: F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor((v - low) / span * parts))).cast("int")
+    placed = points.filter("lat is not null and lon is not null").select("point_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), at(F.col("lat"), -90.0, 180.0).alias("r"), at(F.col("lon"), -180.0, 360.0).alias("c"))
+    left, steps = stations.withColumns({"r": F.lit(0), "c": F.lit(0)}), []
+    if levels:
+        tiles = cut(placed.groupBy("r", "c").agg(F.count(F.lit(1)).alias("points")))
+        steps.append(tiles)
+        for level in range(1, levels + 1):
+            coarse, parent, size = PARTS ** (levels - level), PARTS ** (levels - level + 1), 180.0 / PARTS**level
+            down = lambda c, d: F.floor(F.col(c) / d).cast("int")
+            some = tiles.select(down("r", parent).alias("pr"), down("c", parent).alias("pc"), down("r", coarse).alias("r"), down("c", coarse).alias("c")).distinct()
+            some = some.withColumns({"t_lat": -90 + (F.col("r") + 0.5) * size, "t_lon": -180 + (F.col("c") + 0.5) * 2 * size})
+            met = some.join(left.withColumnsRenamed({"r": "pr", "c": "pc"}), ["pr", "pc"]).withColumn("d", geo.haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("lat"), F.col("lon")))
+            # Half the tile along the meridian, then half along the parallel, which is shorter than along the equator.
+            half = DEGREE_KM * size * 1.5
+            first = met.withColumn("k", F.row_number().over(Window.partitionBy("r", "c").orderBy("d"))).filter(F.col("k") <= n)
+            reach = first.groupBy("r", "c").agg(F.max("d").alias("reach"))
+            left = cut(met.join(reach, ["r", "c"]).filter(F.col("d") <= (F.col("reach") + 2 * half) * (1 + 1e-9)).select(*stations.columns, "r", "c"))
+            steps.append(left)
     order = Window.partitionBy("point_id").orderBy("km", *tie)
-    out = None
-    while True:
-        met = near(left, stations, radius).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-        met = met.withColumn("__met", F.count(F.lit(1)).over(Window.partitionBy("point_id"))).drop("p_lat", "p_lon")
-        last = radius >= HALF_WAY_KM
-        done = cut(met.filter(F.lit(last) | (F.col("__met") >= enough)).drop("__met"))
-        out = done if out is None else out.unionByName(done)
-        if last:
-            return out
-        left = cut(left.join(done.select("point_id").distinct(), "point_id", "left_anti"))
-        if left.isEmpty():
-            return out
-        radius = min(radius * GROWTH, HALF_WAY_KM)
+    km = geo.haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))
+    ranked = placed.join(left, ["r", "c"]).withColumn("km", km).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    if not steps:
+        return ranked.drop("p_lat", "p_lon", "r", "c")
+    out = cut(ranked.drop("p_lat", "p_lon", "r", "c"))
+    drop(*steps, stations)
+    return out
 
 
 def recommended(ranked: DataFrame, years: str = "n_years", least_years: int = 15) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import cut
+from ..tables import cut, drop
 
 # The eight neighbours in the order in which ties are broken (drow, dcol).
 N8 = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
@@ -142,9 +142,9 @@ def flow_directions(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     met = asked.join(base.select(*keys, F.col("row").alias("r"), F.col("col").alias("c"), F.col("z").alias("z2")), [*keys, "r", "c"], "left")
     slope = (F.col("z") - F.col("z2")) / F.col("n.d")
     down = F.when(slope > 0, F.struct((-slope).alias("s"), F.col("n.o").alias("o"), "r", "c"))
-    best = met.groupBy(*keys, "row", "col").agg(F.min(down).alias("b"), F.count("z2").alias("k"))
-    inner = F.col("k") == 8
-    return best.select(*keys, "row", "col", F.when(inner, F.col("b.r")).alias("to_row"), F.when(inner, F.col("b.c")).alias("to_col"))
+    best = met.groupBy(*keys, "row", "col").agg(F.min(down).alias("__best"), F.count("z2").alias("__near"))
+    inner = F.col("__near") == 8
+    return best.select(*keys, "row", "col", F.when(inner, F.col("__best.r")).alias("to_row"), F.when(inner, F.col("__best.c")).alias("to_col"))
 
 
 def accumulate(directions: DataFrame, keys: Sequence[str] = (), rounds: int = 40) -> DataFrame:
@@ -154,6 +154,7 @@ def accumulate(directions: DataFrame, keys: Sequence[str] = (), rounds: int = 40
     cell = [*keys, "row", "col"]
     acc = directions.select(*cell, F.lit(1).cast("bigint").alias("acc"))
     jump = directions.filter("to_row is not null").select(*cell, "to_row", "to_col")
+    old: list[DataFrame] = []
     for i in range(rounds):
         if jump.isEmpty():
             break
@@ -162,6 +163,8 @@ def accumulate(directions: DataFrame, keys: Sequence[str] = (), rounds: int = 40
         far = jump.select(*keys, F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("r2"), F.col("to_col").alias("c2"))
         jump = jump.join(far, [*keys, "to_row", "to_col"]).select(*cell, F.col("r2").alias("to_row"), F.col("c2").alias("to_col"))
         acc, jump = cut(acc), cut(jump)
+        drop(*old)
+        old = [acc, jump]
     return acc
 
 
@@ -172,9 +175,13 @@ def watershed(directions: DataFrame, outlets: DataFrame, keys: Sequence[str] = (
     cell = [*keys, "row", "col"]
     marked = directions.join(outlets.select(*cell, "outlet"), cell, "left")
     at = marked.select(*cell, F.when(F.col("outlet").isNull(), F.col("to_row")).alias("to_row"), F.when(F.col("outlet").isNull(), F.col("to_col")).alias("to_col"), "outlet")
+    old = None
     for _ in range(rounds):
         step = at.select(*keys, F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("r2"), F.col("to_col").alias("c2"), F.col("outlet").alias("o2"))
         at = cut(at.join(step, [*keys, "to_row", "to_col"], "left").select(*cell, F.col("r2").alias("to_row"), F.col("c2").alias("to_col"), F.coalesce("outlet", "o2").alias("outlet")))
+        if old is not None:
+            drop(old)
+        old = at
         if at.filter("to_row is not null").isEmpty():
             break
     return at.filter("outlet is not null").select(*cell, "outlet")

@@ -53,6 +53,25 @@ def part_raster(spark: SparkSession, sf_dir: str, width: int = 50) -> DataFrame:
 RASTER = "ras AS (SELECT (p_partkey // 50)::INTEGER AS row, (p_partkey % 50)::INTEGER AS col, p_retailprice AS z FROM part)"
 
 
+def valley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row, col, z), one cell per part: a valley that falls along its rows, with rough ground."""
+    k = F.col("p_partkey")
+    row, col = F.floor(k / 50).cast("int"), (k % 50).cast("int")
+    return read(spark, sf_dir, "part").select(row.alias("row"), col.alias("col"), (2.0 * row + 1.5 * F.abs(col - 25) + (k * 7919 % 101) / 32.0).alias("z"))
+
+
+VALLEY = "ras AS (SELECT (p_partkey // 50)::INTEGER AS row, (p_partkey % 50)::INTEGER AS col, 2.0::DOUBLE * (p_partkey // 50) + 1.5::DOUBLE * abs(p_partkey % 50 - 25) + (p_partkey * 7919 % 101)::DOUBLE / 32 AS z FROM part)"
+
+
+def supplier_cells(spark: SparkSession, sf_dir: str, name: str = "point_id") -> DataFrame:
+    """(name, row, col): a cell of the valley per supplier."""
+    k = F.col("s_suppkey")
+    return read(spark, sf_dir, "supplier").select(k.alias(name), F.floor(k * 19 / 50).cast("int").alias("row"), (k * 19 % 50).cast("int").alias("col"))
+
+
+SUPPLIER_CELLS = "pts AS (SELECT s_suppkey AS point_id, (s_suppkey * 19 // 50)::INTEGER AS row, (s_suppkey * 19 % 50)::INTEGER AS col FROM supplier)"
+
+
 def hourly_rain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(day, step, p): events per hour of each day."""
     e = read(spark, sf_dir, "events")

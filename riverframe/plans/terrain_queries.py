@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import interpolate
-from ..operators import stations, terrain
+from ..operators import order, stations, terrain
 from . import bindings as b
 from .registry import query
 
@@ -73,11 +73,11 @@ def stage_volume(spark, sf_dir):
 @query("""WITH l AS (SELECT s_suppkey AS basin, 900.0 + s_suppkey % 500 AS line FROM supplier), p AS (SELECT p_size % 10 AS k, p_retailprice AS lo, p_retailprice + 50 AS hi, sum(p_size)::DOUBLE AS area FROM part GROUP BY 1, 2, 3)
 SELECT basin, round(sum(area * least(1.0, greatest(0.0, (line - lo) / (hi - lo)))), 4) AS below, round(sum(area * (1 - least(1.0, greatest(0.0, (line - lo) / (hi - lo))))), 4) AS above FROM l, p WHERE basin % 10 = k GROUP BY basin""")
 def hypsometric_split(spark, sf_dir):
-    """Bands by the price and the last digit of the size of all parts; a basin has those of its last digit. Equal bands are summed before they meet basins."""
-    lines = b.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("basin"), (900.0 + F.col("s_suppkey") % 500).alias("line"), (F.col("s_suppkey") % 10).alias("k"))
-    parts = b.read(spark, sf_dir, "part").groupBy((F.col("p_size") % 10).alias("k"), F.col("p_retailprice").alias("lo")).agg(F.sum("p_size").cast("double").alias("area"))
-    bands = parts.withColumn("hi", F.col("lo") + 50)
-    out = terrain.hypsometric_split(lines.join(bands, "k"), F.col("line"), ["basin"])
+    """Bands by the price and the last digit of the size of all parts; a basin has those of its last digit."""
+    k = F.col("s_suppkey")
+    lines = b.read(spark, sf_dir, "supplier").select(k.alias("basin"), (900.0 + k % 500).alias("line"), (k % 10).alias("k"))
+    bands = b.read(spark, sf_dir, "part").select((F.col("p_size") % 10).cast("bigint").alias("k"), F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + 50).alias("hi"), F.col("p_size").cast("double").alias("area"))
+    out = order.below_lines(bands, lines, ["k"])
     return out.select("basin", F.round("below", 4).alias("below"), F.round("above", 4).alias("above"))
 
 

@@ -24,4 +24,13 @@ def cut(df: DataFrame) -> DataFrame:
     it does not carry the constraints of the plan so far, which grow with every round of an iteration."""
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.riverframe_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of cut() results that no later step reads: call it once what came of them is written itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.riverframe_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
