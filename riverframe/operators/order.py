@@ -34,6 +34,15 @@ def running_sums(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sum
     return own.select(*rows.columns, *[(F.col(f"run_{c}") + F.col(f"{c}_before")).alias(f"run_{c}") for c in sums])
 
 
+def following(rows: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
+    """rows with <column>_2, the values of the key's next row in order; the last row of a key goes.
+
+    Keys are series of bounded length: lines, sections, curves."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    out = rows.withColumns({f"{c}_2": F.lead(c).over(w) for c in columns} | {"__more": F.lead(F.lit(1)).over(w)})
+    return out.filter("__more = 1").drop("__more")
+
+
 def order_statistics(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
     """(keys, share, n, value): the value of rank round(share (n - 1)), half up, from 0, of each key's n values that are numbers.
 
