@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import axes, channels, reservoirs, terrain
-from ..tables import cut
+from ..operators import axes, channels, reservoirs, terrain, windows
+from ..tables import cut, shared_dir
 from . import bindings as b
 from .registry import query
 from .terrain_queries import OFFSETS
@@ -123,3 +125,12 @@ def dam_pools(spark, sf_dir):
     low = basins.join(dams.select("dam", F.col("z").alias("z0")), "dam").filter(F.col("z") < F.col("z0") + HIGHEST).drop("z0")
     curve = reservoirs.height_volume(reservoirs.flood_levels(low, dams), dams, CELL * CELL, step=STEP, highest=HIGHEST)
     return curve.select("dam", "height", F.round("level", 5).alias("level"), "n", "area", F.round("volume", 3).alias("volume"))
+
+
+@query(f"""WITH RECURSIVE {FLOW}, {b.SUPPLIER_CELLS}, {BASIN} SELECT point_id, count(*) AS cells, min(row) AS first_row, max(row) AS last_row, min(col) AS first_col, max(col) AS last_col FROM bas GROUP BY point_id""")
+def delineated_basins(spark, sf_dir):
+    """Each supplier's basin by windows that widen over a raster in blocks, as the whole raster gives it."""
+    path = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    windows.write_blocks(b.valley(spark, sf_dir), path, 16)
+    basins, _ = windows.delineate(spark, path, b.supplier_cells(spark, sf_dir), size=16, first=8)
+    return basins.groupBy("point_id").agg(F.count(F.lit(1)).alias("cells"), F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.min("col").alias("first_col"), F.max("col").alias("last_col"))
