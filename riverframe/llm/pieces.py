@@ -5,8 +5,10 @@ chunks (a run of markers and what follows it) that are segmented independently o
 task segments every distinct chunk once, keeps its ids in a table of bounded size, and joins the ids
 back by the chunks' positions in each text. Decoding takes the joined ids of a whole text.
 
-Nulls count as empty: begin and end ids only, decoded to "". Repeated rows are encoded each, an empty
-table gives an empty result, and other columns are ignored.
+Nulls count as empty: begin and end ids only, decoded to "". Rows that repeat an id, and repeated rows, are
+encoded each; an empty table gives an empty result, and other columns are ignored, whatever their names. A text
+takes memory for itself and its ids, whatever its length; the table is bounded by bytes (TABLE_BYTES), and chunks
+of more than LONGEST characters, as scripts without spaces have them, pass by it.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +28,23 @@ from .common import documents
 
 #: Rows that go back to Spark at a time, which bounds what a task holds besides its table.
 ROWS = 256
+#: Most bytes of a task's table, as counted below, and the longest chunk that it keeps.
+TABLE_BYTES, LONGEST = 24 << 20, 64
+#: Bytes that an entry takes besides its characters and its ids: two objects and their place in the dictionary.
+ENTRY = 200
+#: Chunks of a text that are looked up at a time.
+PART = 8192
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 class ChunkTable:
-    """Ids of distinct chunks; it starts anew when it holds `most` chunks."""
+    """Ids of distinct chunks; it starts anew when it holds `most` bytes."""
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = TABLE_BYTES):
         import sentencepiece
 
-        self.sp, self.most = sentencepiece.SentencePieceProcessor(model_file=path), most
+        self.sp, self.most, self.held = sentencepiece.SentencePieceProcessor(model_file=path), most, 0
         self.ids: dict[str, bytes] = {}
         pieces = (self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()))
         if any(MARK in p.lstrip(MARK) for p in pieces):
@@ -47,24 +56,30 @@ class ChunkTable:
     def _bytes(ids: list[int]) -> bytes:
         return np.asarray(ids, dtype="<u4").tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.ids) + len(chunks) > self.most:
-            self.ids.clear()
-        new = list(chunks)
+    def _segment(self, chunks: list[str]) -> list[bytes]:
         # The library puts a marker in front of what it encodes, which stands for the chunk's first one.
-        for chunk, ids in zip(new, self.sp.encode([c[1:].replace(MARK, " ") for c in new], num_threads=1)):
-            self.ids[chunk] = self._bytes(ids) if len(chunk) > 1 else self.mark
+        found = self.sp.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1)
+        return [self._bytes(ids) if len(c) > 1 else self.mark for c, ids in zip(chunks, found)]
+
+    def clear(self) -> None:
+        self.ids, self.held = {}, 0
 
     def encode(self, text: str | None) -> bytes:
         """All ids of a text with begin and end, as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b"".join(self.edges)
-        chunks = CHUNK.findall(MARK + text.replace(" ", MARK))
-        if missing := set(chunks).difference(self.ids):
-            if len(self.ids) + len(missing) > self.most:
-                missing = set(chunks)
-            self._learn(missing)
-        return b"".join([self.edges[0], *map(self.ids.__getitem__, chunks), self.edges[1]])
+        out = [self.edges[0]]
+        # Some thousand chunks at a time, so that a long text does not outgrow the table on its own.
+        chunks = CHUNK.finditer(MARK + text.replace(" ", MARK)) if text else iter(())
+        while part := [m.group() for m in islice(chunks, PART)]:
+            missing = list({c for c in part if c not in self.ids})
+            own = dict(zip(missing, self._segment(missing)))
+            out += [own[c] if c in own else self.ids[c] for c in part]
+            for chunk, ids in own.items():
+                if len(chunk) <= LONGEST:
+                    self.held += ENTRY + 2 * len(chunk) + len(ids)
+                    self.ids[chunk] = ids
+            if self.held > self.most:
+                self.clear()
+        return b"".join([*out, self.edges[1]])
 
     def decode(self, ids: bytes) -> str:
         return self.sp.decode(np.frombuffer(ids, dtype="<u4").tolist())
@@ -98,6 +113,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             if keep_ids:
                 columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names)
+        table.clear()  # the worker stays, for other tasks and other functions
 
     coded = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
     return coded.withColumnRenamed("id", id_col)

@@ -73,3 +73,41 @@ def test_small_chunk_table():
 @pytest.mark.parametrize("op", [lambda d: token_counts.count_tokens(d, public_tokenizers.path("byte_bpe_50k.json")), lambda d: pieces.encode_pieces(d, public_tokenizers.path("piece_bpe_32k.model"))])
 def test_empty_table(spark, op):
     assert op(frame(spark, [])).count() == 0
+
+
+def test_table_of_chunks_is_bounded_by_bytes():
+    """Texts of a script without spaces: chunks as long as texts are segmented, and none is kept."""
+    import random
+    import tracemalloc
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    table = pieces.ChunkTable(path, most=1 << 20)
+    r = random.Random(1)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    tracemalloc.start()
+    for i in range(300):
+        text = "".join(r.choices(letters, k=10_000))
+        code = table.encode(text)
+        if i % 100 == 0:
+            assert np.frombuffer(code, "<u4").tolist() == sp.encode(text, add_bos=True, add_eos=True)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert not table.ids and held < 4 << 20
+    # Ever new short words: the table starts anew before it holds more than its bytes.
+    most = 0
+    for i in range(40):
+        text = " ".join(f"w{r.randrange(10**9)}" for _ in range(1000))
+        assert np.frombuffer(table.encode(text), "<u4").tolist() == sp.encode(text, add_bos=True, add_eos=True)
+        most = max(most, table.held)
+    assert 1 << 19 < most <= 1 << 20
+
+
+def test_repeated_rows_are_encoded_each(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(1, "same text"), (1, "same text"), (1, "another"), (None, "no id"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = sorted((r.doc_id or 0, r.n_tokens) for r in pieces.encode_pieces(docs, path, keep_ids=False).collect())
+    assert got == sorted((i or 0, len(sp.encode(t or "")) + 2) for i, t in rows)
+    assert pieces.encode_pieces(docs.limit(0), path).collect() == []
