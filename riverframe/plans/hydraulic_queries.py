@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import river
-from ..operators import hydraulics
+from ..operators import culverts, hydraulics
 from . import bindings as b
 from .registry import query
 
@@ -126,10 +126,17 @@ def backwater_profile(spark, sf_dir):
     return hydraulics.backwater(c.select(F.col("l_orderkey").alias("reach"), (F.col("l_linenumber") * 100.0).alias("station"), pts.alias("pts")), "reach", flow=50.0)
 
 
-@query()
+@query("""WITH c AS (SELECT s_suppkey AS id, 1.0::DOUBLE + s_suppkey % 3 AS w, 1.5::DOUBLE AS d FROM supplier),
+q AS (SELECT *, w * d * sqrt(2 * 9.81 * d) * i / 24 AS q FROM c, range(1, 25) r(i)),
+y AS (SELECT *, 1.811 * q / (w * d * sqrt(d)) AS x, least(d, cbrt(q * q / (w * w * 9.81))) AS yc FROM q),
+e AS (SELECT *, d * ((yc + power(q / (w * yc), 2) / 19.62) / d + 0.0098 * power(x, 2) - 0.5 * 0.01) AS fr, d * (0.0398 * x * x + 0.67 - 0.5 * 0.01) AS fu,
+  (yc + d) / 2 + power(q / (w * d), 2) / 19.62 * (1 + 0.5 + 19.62 * 0.013 * 0.013 * 20 / power(w * d / (2 * (w + d)), 4.0 / 3)) - 0.01 * 20 AS o FROM y),
+h AS (SELECT *, CASE WHEN x <= 3.5 THEN fr WHEN x >= 4.0 THEN fu ELSE fr + (fu - fr) * ((x - 3.5) / 0.5) END AS ic FROM e)
+SELECT id, round(q, 6) AS q, round(ic, 6) AS inlet, round(o, 6) AS outlet, round(greatest(ic, o), 6) AS headwater FROM h""")
 def culvert_rating(spark, sf_dir):
     c = b.read(spark, sf_dir, "supplier")
-    return hydraulics.culvert_rating(c.select(F.col("s_suppkey").alias("id"), (1.0 + F.col("s_suppkey") % 3).cast("double").alias("width"), F.lit(1.5).alias("height"), F.lit(20.0).alias("length"), F.lit(0.01).alias("slope"), F.lit(0.013).alias("n")), ["id"])
+    rated = hydraulics.culvert_rating(c.select(F.col("s_suppkey").alias("id"), (1.0 + F.col("s_suppkey") % 3).cast("double").alias("width"), F.lit(1.5).alias("height"), F.lit(20.0).alias("length"), F.lit(0.01).alias("slope"), F.lit(0.013).alias("n")), ["id"])
+    return rated.select("id", *[F.round(x, 6).alias(x) for x in ("q", "inlet", "outlet", "headwater")])
 
 
 @query()
@@ -150,3 +157,54 @@ SELECT {KEYS}, round(k / sum(k) OVER (PARTITION BY l_orderkey), 8) AS share FROM
 def conveyance_shares(spark, sf_dir):
     k = river.power(F.col("h"), 5 / 3) * F.col("b")
     return b.flow_cases(spark, sf_dir).select(*KEY, F.round(k / F.sum(k).over(Window.partitionBy("l_orderkey")), 8).alias("share"))
+
+
+def _culverts(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return b.read(spark, sf_dir, "supplier").select(
+        k.alias("id"), F.element_at(F.array(*map(F.lit, culverts.TYPES)), (k % 9 + 1).cast("int")).alias("kind"), (0.8 + (k % 5) * 0.3).alias("height"), F.when(k % 2 == 0, 1.0 + k % 3).alias("width"), (20.0 + k % 30).alias("length"),
+        ((k % 5) * 0.005).alias("slope"), F.when(k % 7 == 0, 0.02).alias("n"), F.when(k % 3 > 0, (k % 3) * 0.5).alias("tailwater"), (0.5 + (k % 40) / 4).alias("flow"), (1 + k % 3).alias("barrels"),
+    )
+
+
+def _kinds(field: str) -> str:
+    i = culverts.FIELDS.index(field)
+    return "CASE kind " + " ".join(f"WHEN '{name}' THEN {row[i]!r}" for name, row in culverts.TYPES.items()) + " END"
+
+
+_TH = "(2 * acos(greatest(-1, least(1, (d / 2 - {y}) / (d / 2)))))"
+
+
+def _area(y: str) -> str:
+    y = f"greatest(0, least({y}, d))"
+    th = _TH.format(y=y)
+    return f"(CASE WHEN box THEN w * {y} ELSE d * d / 8 * ({th} - sin({th})) END)"
+
+
+def _carried(y: str) -> str:
+    inner = f"greatest(0, least({y}, d))"
+    wet = f"(CASE WHEN box THEN w + 2 * {inner} ELSE CASE WHEN {_TH.format(y=inner)} = 0 THEN 1e-6 ELSE d / 2 * {_TH.format(y=inner)} END END)"
+    return f"({_area(y)} * power({_area(y)} / {wet}, 2.0 / 3) * sqrt(s) / n)"
+
+
+_MID = "((lo + hi) / 2)"
+_CUBE = f"power({_area(_MID).replace('CASE WHEN box THEN', 'CASE WHEN false THEN')}, 3) / (CASE WHEN sin({_TH.format(y=_MID)} / 2) = 0 THEN 1e-6 ELSE d * sin({_TH.format(y=_MID)} / 2) END)"
+
+
+@query(f"""WITH RECURSIVE c0 AS (SELECT s_suppkey AS id, {list(culverts.TYPES)!r}[s_suppkey % 9 + 1] AS kind, 0.8::DOUBLE + (s_suppkey % 5) * 0.3::DOUBLE AS d, CASE WHEN s_suppkey % 2 = 0 THEN 1.0::DOUBLE + s_suppkey % 3 END AS w0, 20.0::DOUBLE + s_suppkey % 30 AS l, (s_suppkey % 5) * 0.005::DOUBLE AS s,
+  CASE WHEN s_suppkey % 7 = 0 THEN 0.02::DOUBLE END AS n0, coalesce(CASE WHEN s_suppkey % 3 > 0 THEN (s_suppkey % 3) * 0.5::DOUBLE END, 0) AS tw, 0.5::DOUBLE + (s_suppkey % 40)::DOUBLE / 4 AS flow, 1 + s_suppkey % 3 AS barrels FROM supplier),
+c AS (SELECT *, {_kinds('shape')} = 'box' AS box, coalesce(n0, {_kinds('n')})::DOUBLE AS n, CASE WHEN {_kinds('shape')} = 'box' THEN coalesce(w0, d) ELSE d END AS w, flow / barrels AS q FROM c0),
+kc AS (SELECT id, 0 AS i, d, w, false AS box, q, 1e-4::DOUBLE AS lo, d AS hi FROM c UNION ALL SELECT id, i + 1, d, w, box, q, CASE WHEN {_CUBE} < q * q / 9.81 THEN {_MID} ELSE lo END, CASE WHEN {_CUBE} < q * q / 9.81 THEN hi ELSE {_MID} END FROM kc WHERE i < 60),
+kn AS (SELECT id, 0 AS i, d, w, box, q, s, n, 1e-4::DOUBLE AS lo, d AS hi FROM c UNION ALL SELECT id, i + 1, d, w, box, q, s, n, CASE WHEN {_carried(_MID)} < q THEN {_MID} ELSE lo END, CASE WHEN {_carried(_MID)} < q THEN hi ELSE {_MID} END FROM kn WHERE i < 60),
+e AS (SELECT c.*, CASE WHEN c.box THEN least(c.d, cbrt(c.q * c.q / (c.w * c.w * 9.81))) ELSE (kc.lo + kc.hi) / 2 END AS dc, CASE WHEN c.s <= 0 THEN 0 WHEN {_carried('c.d').replace('box', 'c.box').replace(' d)', ' c.d)').replace('w *', 'c.w *').replace('w +', 'c.w +').replace('d * d', 'c.d * c.d').replace('d / 2', 'c.d / 2').replace('sqrt(s) / n', 'sqrt(c.s) / c.n')} < c.q THEN c.d ELSE (kn.lo + kn.hi) / 2 END AS dn
+  FROM c JOIN kc ON kc.id = c.id AND kc.i = 60 JOIN kn ON kn.id = c.id AND kn.i = 60),
+f AS (SELECT *, CASE WHEN box THEN w * d ELSE pi() * d * d / 4 END AS af, CASE WHEN box THEN w * d / (2 * (w + d)) ELSE d / 4 END AS rf, CASE WHEN {_kinds('mitered')} THEN 0.7 * s ELSE -0.5 * s END AS sc, q / {_area('least(dc, d * 0.999)')} AS vc FROM e),
+g AS (SELECT *, 1.811::DOUBLE * q / (af * sqrt(d)) AS x, q / af AS v FROM f),
+h AS (SELECT *, (dc + vc * vc / 19.62) / d + {_kinds('k')} * power(x, {_kinds('m')}) + sc AS fr, {_kinds('c')} * x * x + {_kinds('y')} + sc AS dr FROM g),
+j AS (SELECT *, greatest(0, CASE WHEN x <= 3.5 THEN fr WHEN x >= 4.0 THEN dr ELSE fr * (1 - (x - 3.5) / 0.5) + dr * ((x - 3.5) / 0.5) END) * d AS inlet, greatest(tw, (least(dc, d) + d) / 2) + (1 + {_kinds('ke')} + 19.62 * n * n * l / power(rf, 4.0 / 3)) * v * v / 19.62 - s * l AS outlet FROM h)
+SELECT id, round(dc, 6) AS dc, round(dn, 6) AS dn, round(inlet, 6) AS inlet, round(outlet, 6) AS outlet, CASE WHEN inlet >= outlet THEN 'inlet' ELSE 'outlet' END AS control, round(greatest(0, inlet, outlet), 6) AS headwater, greatest(0, inlet, outlet) / d > 1.2 AS submerged,
+  round(CASE WHEN inlet < outlet THEN v WHEN dn > 0 THEN q / {_area('least(dn, d * 0.999)')} ELSE 0 END, 5) AS v_out FROM j""")
+def culvert_design(spark, sf_dir):
+    """A culvert of one of nine types per supplier."""
+    r = culverts.design(_culverts(spark, sf_dir))
+    return r.select("id", *[F.round(c, 6).alias(c) for c in ("dc", "dn", "inlet", "outlet")], "control", F.round("headwater", 6).alias("headwater"), "submerged", F.round("v_out", 5).alias("v_out"))
