@@ -6,7 +6,7 @@ series' key and a small numpy function runs over each, ordered by step. A group
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import river
+from ..tables import cut, drop
 
 
 def per_series(df: DataFrame, keys: Sequence[str], step: str, columns: str, f: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> DataFrame:
@@ -130,68 +131,68 @@ def score(observed: DataFrame, simulated: DataFrame, keys: Sequence[str], step:
     return rows.join(mean, list(keys)).groupBy(*keys).agg(F.when(v > 0, 1 - e / F.when(v > 0, v)).alias("nse"), F.sqrt(e / F.count(F.lit(1))).alias("rmse"))
 
 
-def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, spread: float = 0.15, rounds: int = 400, tolerance: float = 1e-6) -> tuple[np.ndarray, float, int]:
-    """Downhill simplex: reflect, expand, contract, shrink."""
-    n = len(start)
-    simplex = [np.array(start, float)]
-    for i in range(n):
-        x = np.array(start, float)
-        x[i] += spread * (abs(x[i]) or 1.0)
-        simplex.append(x)
-    values = [f(x) for x in simplex]
-    used = 0
-    for used in range(1, rounds + 1):
-        order = np.argsort(values, kind="stable")
-        simplex, values = [simplex[i] for i in order], [values[i] for i in order]
-        if abs(values[-1] - values[0]) < tolerance:
-            break
-        centre = np.mean(simplex[:-1], axis=0)
-        mirrored = centre + (centre - simplex[-1])
-        fm = f(mirrored)
-        if fm < values[0]:
-            far = centre + 2 * (centre - simplex[-1])
-            ff = f(far)
-            simplex[-1], values[-1] = (far, ff) if ff < fm else (mirrored, fm)
-        elif fm < values[-2]:
-            simplex[-1], values[-1] = mirrored, fm
-        else:
-            close = centre + 0.5 * (simplex[-1] - centre)
-            fc = f(close)
-            if fc < values[-1]:
-                simplex[-1], values[-1] = close, fc
-            else:
-                simplex = [simplex[0]] + [simplex[0] + 0.5 * (x - simplex[0]) for x in simplex[1:]]
-                values = [values[0]] + [f(x) for x in simplex[1:]]
-    i = int(np.argmin(values))
-    return simplex[i], values[i], used
-
-
 BOUNDS = {"melt": (0.5, 12.0), "s_max": (10.0, 500.0), "k_perc": (0.001, 0.5), "k_base": (0.001, 0.5), "pet": (0.0, 10.0)}
-
-
-def calibrate(forcing: DataFrame, keys: Sequence[str], observed: str = "obs", step: str = "day", bounds: dict[str, tuple[float, float]] = BOUNDS, **fixed: float) -> DataFrame:
-    """Fit the bucket of each basin to its observed flow by a simplex search on 1 - NSE: one row per basin."""
-    kinds = {k.name: k.dataType.simpleString() for k in forcing.schema}
-    names = list(bounds)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{n} double" for n in names), "nse0 double, nse double, rounds bigint"])
+#: Candidates a round, rounds, and what is left of the searched box after each.
+CANDIDATES, ROUNDS, NARROWER = 96, 16, 0.75
+
+
+def spread(n: int, bases: Sequence[int]) -> np.ndarray:
+    """n points that fill the unit box evenly: digits of 1, 2, 3 ... mirrored at the point, in one base for each axis."""
+    out = np.zeros((n, len(bases)))
+    for axis, base in enumerate(bases):
+        for i in range(n):
+            k, scale = i + 1, 1.0 / base
+            while k:
+                out[i, axis] += scale * (k % base)
+                k, scale = k // base, scale / base
+    return out
+
+
+def calibrate(forcing: DataFrame, keys: Sequence[str], observed: str = "obs", step: str = "day", bounds: dict[str, tuple[float, float]] = BOUNDS, candidates: int = CANDIDATES, rounds: int = ROUNDS, **fixed: float) -> DataFrame:
+    """(keys, the names of bounds, nse0, nse, rounds): each basin's parameters of most Nash-Sutcliffe efficiency by a narrowing search, and the efficiency before.
+
+    A round lays candidates evenly over boxes around each basin's best so far, within the bounds; every candidate of
+    every basin is a row and is simulated where it lies. The best of each basin is the next boxes' middle, and boxes
+    narrow from round to round. A basin's series is one row; ties go to the first candidate. A basin whose observed
+    flow does not vary keeps its loss of squares unscaled, as its efficiency is not defined."""
+    names, start = list(bounds), {**DEFAULT_BUCKET, **fixed}
     low, high = np.array([bounds[n][0] for n in names]), np.array([bounds[n][1] for n in names])
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(step, kind="stable")
-        rain, temp, obs = (part[c].to_numpy(float) for c in ("p", "temp", observed))
-        around = float(np.sum((obs - obs.mean()) ** 2)) or 1.0
-
-        def loss(x: np.ndarray) -> float:
-            x = np.clip(x, low, high)
-            q = np.round(bucket(rain, temp, **{**DEFAULT_BUCKET, **fixed, **dict(zip(names, x))})["q"], 2)
-            return float(np.sum((obs - q) ** 2)) / around
-
-        start = np.array([{**DEFAULT_BUCKET, **fixed}[n] for n in names])
-        x, value, rounds = nelder_mead(loss, start)
-        x = np.clip(x, low, high)
-        return pd.DataFrame([{**{k: part[k].iloc[0] for k in keys}, **dict(zip(names, x)), "nse0": 1 - loss(start), "nse": 1 - value, "rounds": rounds}])
-
-    return forcing.groupBy(*keys).applyInPandas(run, schema)
+    places = spread(candidates * rounds, (2, 3, 5, 7, 11, 13, 17, 19)[: len(names)]) - 0.5
+    day = F.struct(F.col(step).alias("step"), *[F.col(c).cast("double").alias(n) for n, c in (("p", "p"), ("temp", "temp"), ("obs", observed))])
+    series = forcing.groupBy(*keys).agg(F.array_sort(F.collect_list(day)).alias("s"))
+    series = cut(series.select(*keys, *[F.col(f"s.{c}").alias(f"__{c}") for c in ("p", "temp", "obs")]))
+    kinds = dict(series.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "__i int", *(f"{n} double" for n in names), "loss double"])
+
+    def losses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for rain, temp, obs, values in zip(batch["__p"], batch["__temp"], batch["__obs"], batch[names].to_numpy()):
+                q = np.round(bucket(rain, temp, **{**start, **dict(zip(names, values))})["q"], 2)
+                out.append(float(np.sum((obs - q) ** 2)) / (float(np.sum((obs - obs.mean()) ** 2)) or 1.0))
+            yield batch[[*keys, "__i", *names]].assign(loss=out)
+
+    def tried(middles: DataFrame, offsets: np.ndarray) -> DataFrame:
+        rows = series.join(middles, list(keys)).withColumn("__o", F.explode(F.lit(np.round(offsets, 12).tolist())))
+        values = [F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.col(n) + F.col("__o")[i])).alias(n) for i, (n, lo, hi) in enumerate(zip(names, low, high))]
+        found = rows.select(*keys, "__p", "__temp", "__obs", F.col("__o")[len(names)].cast("int").alias("__i"), *values).mapInPandas(losses, schema)
+        return found.groupBy(*keys).agg(F.min(F.struct("loss", "__i", *names)).alias("b"))
+
+    # The best so far comes first, with the number 0, so that no round ends worse than it began.
+    none = np.zeros((1, len(names) + 1))
+    start_at = series.select(*keys, *[F.lit(float(start[n])).alias(n) for n in names])
+    state = cut(tried(start_at, none).select(*keys, *[F.col(f"b.{n}").alias(n) for n in names], "b.loss", F.col("b.loss").alias("loss0")))
+    width = high - low
+    for turn in range(rounds):
+        # Half of them in the box, a quarter close to its middle, and a quarter all over.
+        reach = np.resize([1.0, 1.0, 0.25, NARROWER**-turn], candidates)[:, None]
+        around = np.column_stack((places[turn * candidates : (turn + 1) * candidates] * width * reach, np.arange(1, candidates + 1)))
+        found = tried(state.select(*keys, *names), np.vstack((none, around))).join(state.select(*keys, "loss0"), list(keys))
+        better = cut(found.select(*keys, *[F.col(f"b.{n}").alias(n) for n in names], "b.loss", "loss0"))
+        drop(state)
+        state, width = better, width * NARROWER
+    clipped = [F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.col(n))).alias(n) for n, lo, hi in zip(names, low, high)]
+    return state.select(*keys, *clipped, (1 - F.col("loss0")).alias("nse0"), (1 - F.col("loss")).alias("nse"), F.lit(rounds).cast("bigint").alias("rounds"))
 
 
 def storage_route(inflow: np.ndarray, level: np.ndarray, volume: np.ndarray, crest: float, length: float, cd: float, dt: float, tail: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
