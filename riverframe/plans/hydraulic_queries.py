@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import river
-from ..operators import culverts, hydraulics
+from ..operators import culverts, hydraulics, scour
 from . import bindings as b
 from .registry import query
 
@@ -208,3 +208,43 @@ def culvert_design(spark, sf_dir):
     """A culvert of one of nine types per supplier."""
     r = culverts.design(_culverts(spark, sf_dir))
     return r.select("id", *[F.round(c, 6).alias(c) for c in ("dc", "dn", "inlet", "outlet")], "control", F.round("headwater", 6).alias("headwater"), "submerged", F.round("v_out", 5).alias("v_out"))
+
+
+_D, _T, _Q, _LEVEL, _PIER = 20.0, 100.0, 200.0, 19.0, 1.2
+_BETA = "(0.7929 + 0.0973 * log10(100.0))"
+_COEF = f"(0.68 * {_BETA} * power({_D}, 0.28))"
+_NEILL = f"(1.58 * sqrt(1.65 * 9.81 * {_D / 1000}) * power({_D / 1000}, -1.0 / 6))"
+
+
+def _scour_sections(spark, sf_dir):
+    """(profiles, sections): a profile per order of more than one line, a pier in every third."""
+    points = b.sections(spark, sf_dir).select("l_orderkey", (F.col("l_linenumber") * 10.0).alias("s"), (20.0 - 2 * F.col("h")).alias("z"))
+    p = hydraulics.section_properties(points, ["l_orderkey"], F.lit(_LEVEL)).filter("area > 0 and width > 0")
+    v = _Q / F.col("area")
+    none = F.lit(None).cast("double")
+    return points, p.select(
+        "l_orderkey", F.lit(_LEVEL).alias("level"), F.lit(_Q).alias("flow"), "area", "width", v.alias("v"), (v / F.sqrt(9.81 * F.col("area") / F.col("width"))).alias("froude"), F.lit(_D).alias("d50"), F.lit(_T).alias("t"),
+        F.lit(None).cast("array<struct<d50_mm:double,thickness:double>>").alias("layers"), none.alias("rock"), F.when(F.col("l_orderkey") % 3 == 0, _PIER).alias("pier_width"), F.lit("circular").alias("pier_shape"), none.alias("pier_angle"), none.alias("pier_length"), none.alias("k3"),
+    )
+
+
+@query(f"""WITH {b.SECTIONS}, p AS (SELECT l_orderkey AS k, l_linenumber * 10.0::DOUBLE AS s, 20.0::DOUBLE - 2 * h AS z FROM sec),
+g AS (SELECT k, s, z, lead(s) OVER w AS s2, lead(z) OVER w AS z2 FROM p WINDOW w AS (PARTITION BY k ORDER BY s)),
+c AS (SELECT k, s, s2, s2 - s AS ds, {_LEVEL} - z AS a, {_LEVEL} - z2 AS c FROM g WHERE s2 IS NOT NULL),
+w AS (SELECT *, greatest(a, 0) AS ha, greatest(c, 0) AS hc, CASE WHEN a > 0 AND c > 0 THEN ds WHEN a <= 0 AND c <= 0 THEN 0 ELSE ds * greatest(a, c) / abs(a - c) END AS wet FROM c),
+m AS (SELECT k, sum((ha + hc) / 2 * wet) AS area, sum(wet) AS width FROM w GROUP BY k HAVING area > 0 AND width > 0),
+v AS (SELECT k, count(*) AS n, max(s) - min(s) AS be, max({_LEVEL} - z) AS h1 FROM p WHERE z < {_LEVEL} GROUP BY k HAVING n > 1),
+ll AS (SELECT k, max(greatest(0, hs - h)) AS ll, min({_LEVEL} - hs) AS bed FROM (SELECT p.k, {_LEVEL} - z AS h, power({_Q} / (power(area / width, 5.0 / 3) * be) * power({_LEVEL} - z, 5.0 / 3) / {_COEF}, 1 / 1.32) AS hs FROM p JOIN m USING (k) JOIN v USING (k) WHERE z < {_LEVEL}) GROUP BY k),
+st AS (SELECT k, CASE WHEN c < 0 THEN s + a / (a - c) * (s2 - s) ELSE s2 END - CASE WHEN a < 0 THEN s + a / (a - c) * (s2 - s) ELSE s END AS w, (ha + hc) / 2 AS h FROM w WHERE a > 0 OR c > 0),
+su AS (SELECT k, h, {_Q} * power(h, 5.0 / 3) / sum(power(h, 5.0 / 3) * w) OVER (PARTITION BY k) AS u FROM st WHERE w > 0 AND h > 0.001),
+fr AS (SELECT k, max(greatest(0, power(u / {_NEILL}, 6.0 / 7) - h, power({_Q} / (power(area / width, 5.0 / 3) * width) * power(h, 5.0 / 3) / {_COEF}, 1 / 1.32) - h)) AS fr FROM su JOIN m USING (k) GROUP BY k),
+q AS (SELECT m.k, coalesce(ll, 0) AS ll, bed, CASE WHEN h1 IS NULL THEN 0 ELSE greatest(0, power({_Q} / be / {_NEILL}, 6.0 / 7) - area / width) END AS ne, coalesce(fr, 0) AS fr, h1, {_Q} / area AS v, {_Q} / area / sqrt(9.81 * area / width) AS f FROM m LEFT JOIN v USING (k) LEFT JOIN ll USING (k) LEFT JOIN fr USING (k)),
+o AS (SELECT *, CASE WHEN k % 3 = 0 AND h1 IS NOT NULL THEN 2 * 1.1 * h1 * power({_PIER} / h1, 0.65) * power(f, 0.43) ELSE 0 END AS csu, CASE WHEN k % 3 = 0 AND h1 IS NOT NULL THEN greatest(2 * 1.1 * h1 * power({_PIER} / h1, 0.65) * power(f, 0.43), 0.32 * power({_PIER}, 0.62) * power(h1, 0.47) * power(greatest(f, 0.001), 0.22) * power(0.02, -0.09), 1.35 * power({_PIER}, 0.7) * power(h1, 0.3),
+  1.5 * {_PIER} * tanh(h1 / {_PIER}), 1.05 * power({_PIER}, 0.75)) ELSE 0 END AS loc FROM q)
+SELECT k AS l_orderkey, round(ll, 5) AS general_lischtvan, round(ne, 5) AS general_neill, round(fr, 5) AS general_strips, round(greatest(ll, ne, fr), 5) AS general, round(csu, 5) AS local_csu, round(loc, 5) AS "local", round(greatest(ll, ne, fr) + loc, 5) AS total, round(ll + csu, 5) AS total_csu,
+  coalesce(v > 1.58 * sqrt(1.65 * 9.81 * {_D / 1000}) * power(h1 / {_D / 1000}, 1.0 / 6), false) AS live_bed, round(bed, 5) AS scoured_bed FROM o""")
+def combined_scour(spark, sf_dir):
+    """General and local scour of a section per order."""
+    points, sections = _scour_sections(spark, sf_dir)
+    r = scour.combined(points, sections, ["l_orderkey"])
+    return r.select("l_orderkey", *[F.round(c, 5).alias(c) for c in ("general_lischtvan", "general_neill", "general_strips", "general", "local_csu", "local", "total", "total_csu")], "live_bed", F.round("scoured_bed", 5).alias("scoured_bed"))
