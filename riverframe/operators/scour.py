@@ -102,7 +102,7 @@ def combined(points: DataFrame, sections: DataFrame, keys: Sequence[str]) -> Dat
     sections (keys, level, flow, area, width, v, froude, d50, t, layers, rock, pier_width, pier_shape, pier_angle, pier_length,
     k3). general is the largest of three methods. local is the envelope of five for a pier, 0 without one; total adds
     general and local; total_csu adds the first general method and the first local one, as reports list them. live_bed:
-    the mean velocity is above the competent one of the deepest point. Sections without two wet points scour nothing."""
+    the mean velocity is above the competent one of the deepest point. Sections without two wet points have their strips alone."""
     g = general(points, sections, keys)
     s = by_strips(points, sections.select(*keys, "level", "flow", "area", "width", "d50", "layers", "rock", "t"), keys).groupBy(*keys).agg(F.max("scour").alias("general_strips"))
     rows = sections.join(g, list(keys), "left").join(s, list(keys), "left")
