@@ -84,6 +84,12 @@ def recommended(ranked: DataFrame, years: str = "n_years", least_years: int = 15
     return pool.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r", "__any")
 
 
+def first_usable(ranked: DataFrame, usable: Column) -> DataFrame:
+    """The nearest of each point's ranked stations for which `usable` holds; points without one are left out."""
+    w = Window.partitionBy("point_id").orderBy("rank")
+    return ranked.filter(usable).withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+
+
 def override(base: DataFrame, own: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Series of the user replace whole series of the catalogue."""
     return base.join(own.select(*keys).distinct(), list(keys), "left_anti").unionByName(own, allowMissingColumns=True)

@@ -24,7 +24,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _load() -> None:
-    from . import channel_queries, flow_queries, hydraulic_queries, hydrology_queries, survey_queries, terrain_queries  # noqa: F401
+    from . import channel_queries, flow_queries, geometry_queries, hydraulic_queries, hydrology_queries, survey_queries, terrain_queries, works_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
