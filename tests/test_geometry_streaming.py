@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from riverframe.functions import register
+from riverframe.functions import register, stats
 from riverframe.operators import geometry
 from riverframe.streaming import annual
 
@@ -57,6 +57,18 @@ def test_sql_functions(spark):
     assert abs(r.d - 111.195) < 0.01 and abs(r.p - 50.539) < 0.01 and r.c == "H3" and abs(r.z - 1.2816) < 1e-4 and abs(r.g - 0.693147) < 1e-5
 
 
+def test_sql_functions_of_tables_and_depths(spark):
+    register.register(spark)
+    spark.createDataFrame([(i, i / 100) for i in range(101)], "i int, p double").createOrReplaceTempView("probabilities")
+    rows = spark.sql("SELECT p, norm_inv(p) AS z FROM probabilities").collect()
+    want = spark.createDataFrame([(r.p,) for r in rows], "p double").select("p", stats.norm_inv(F.col("p")).alias("z")).collect()
+    assert {r.p: r.z for r in rows} == {r.p: r.z for r in want} and rows[0].z is None and rows[100].z is None
+    got = spark.sql("SELECT interp(x, array(1D, 2D, 4D), array(10D, 20D, 0D)) AS y FROM VALUES (0D), (1D), (1.5D), (2D), (3D), (9D), (NULL) AS t(x)").collect()
+    assert [r.y for r in got] == [10.0, 10.0, 15.0, 20.0, 10.0, 0.0, None]
+    y = spark.sql("SELECT normal_depth(50D, 20D, 0.035D, 0.002D) AS y").first().y
+    assert abs(20 * y * (20 * y / (20 + 2 * y)) ** (2 / 3) * 0.002**0.5 / 0.035 - 50) < 1e-9
+
+
 def test_stream_of_maxima(spark, tmp_path):
     rows = [("a", "2024-01-05 00:00:00", 3.0), ("a", "2024-01-06 00:00:00", 9.0), ("b", "2024-01-07 00:00:00", 1.0), ("a", "2024-03-30 00:00:00", 2.0)]
     spark.createDataFrame(rows, "k string, t string, value double").select("k", F.to_timestamp("t").alias("ts"), "value").write.parquet(str(tmp_path / "in"))
