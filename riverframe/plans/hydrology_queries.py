@@ -141,9 +141,13 @@ def best_distribution(spark, sf_dir):
     return frequency.best(chi2_sturges(spark, sf_dir), ["st"]).select("st", "dist", "x2", "accepted")
 
 
-@query()
+@query(f"""WITH RECURSIVE {b.SERIES}, {b.MOMENTS}, ts AS (SELECT t FROM (VALUES {", ".join(f"({float(t)!r}::DOUBLE)" for t in PERIODS)}) v(t)),
+g AS (SELECT st, t, power(mean / std, 2) AS s, std * std / mean AS scale, 1 - 1 / t AS p, 0.0::DOUBLE AS lo, power(mean / std, 2) + 15 * mean / std + 60 AS hi, 0 AS i FROM mo, ts
+  UNION ALL SELECT st, t, s, scale, p, CASE WHEN c < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN c < p THEN hi ELSE (lo + hi) / 2 END, i + 1
+  FROM (SELECT *, list_sum(list_transform(range(2000), lambda k: exp((s + k) * ln((lo + hi) / 2) - (lo + hi) / 2 - lgamma(s + k + 1)))) AS c FROM g WHERE i < 70))
+SELECT st, t, 'gamma' AS dist, round((lo + hi) / 2 * scale / 1000, 4) AS q_thousands FROM g WHERE i = 70""")
 def gamma_quantiles(spark, sf_dir):
-    return quantiles(spark, sf_dir, ("gamma",)).withColumn("q", F.round("q", 4))
+    return quantiles(spark, sf_dir, ("gamma",)).select("st", "t", "dist", F.round(F.col("q") / 1000, 4).alias("q_thousands"))
 
 
 @query()
@@ -368,10 +372,24 @@ def calibrate_bucket(spark, sf_dir):
     return routing.calibrate(f.join(twin, ["series", "day"]), ["series"])
 
 
-@query()
+_HELD = "(CASE WHEN {z} <= 110 THEN ({z} - 100) / 10 * 5e6 ELSE 5e6 + ({z} - 110) / 10 * 1.5e7 END)"
+_SPILL = "(2.0 * 20.0 * power(greatest(0, {z} - 115), 1.5))"
+_HALF = "((a.lo + a.hi) / 2)"
+# Half of the interval, fifty times: a fold over a list whose first element is the interval itself.
+_LEVEL = f"""list_reduce([{{'lo': 100.0::DOUBLE, 'hi': 128.0::DOUBLE}}] || list_transform(range(50), lambda i: {{'lo': known, 'hi': known}}),
+  lambda a, k: CASE WHEN {_HELD.format(z=_HALF)} + 43200.0 * {_SPILL.format(z=_HALF)} < k.lo THEN {{'lo': {_HALF}, 'hi': a.hi}} ELSE {{'lo': a.lo, 'hi': {_HALF}}} END)"""
+
+
+@query(f"""WITH RECURSIVE {b.FLOW}, s0 AS (SELECT series, row_number() OVER w - 1 AS i, q / 100 AS q, min(step) OVER (PARTITION BY series) AS first FROM flow WINDOW w AS (PARTITION BY series ORDER BY step)),
+n AS (SELECT series, min(first) AS first, ceil(count(*) * 1.5)::BIGINT AS n FROM s0 GROUP BY series), g AS (SELECT series, first, unnest(range(n)) AS i FROM n),
+s AS (SELECT g.series, g.first + g.i AS step, g.i, coalesce(q, 0) AS q, coalesce(lag(q) OVER (PARTITION BY g.series ORDER BY g.i), 0) AS before FROM g LEFT JOIN s0 ON s0.series = g.series AND s0.i = g.i),
+r AS (SELECT series, 0::BIGINT AS i, 115.0::DOUBLE AS z FROM n UNION ALL
+  SELECT series, i, (x.lo + x.hi) / 2 FROM (SELECT series, i, {_LEVEL} AS x FROM (SELECT r.series, s.i, {_HELD.format(z='r.z')} + 86400.0 * (s.before + s.q) / 2 - 86400.0 * {_SPILL.format(z='r.z')} / 2 AS known FROM r JOIN s ON s.series = r.series AND s.i = r.i + 1)))
+SELECT s.series, s.step, round(s.q, 5) AS inflow, round({_SPILL.format(z='r.z')}, 5) AS outflow, round(r.z, 7) AS level FROM s JOIN r ON r.series = s.series AND r.i = s.i""")
 def reservoir_route(spark, sf_dir):
     flow = b.daily_flow(spark, sf_dir).withColumn("q", F.col("q") / 100)
-    return routing.reservoir(flow, ["series"], [(100.0, 0.0), (110.0, 5e6), (120.0, 2e7)], 115.0, 20.0, dt=86400.0)
+    out = routing.reservoir(flow, ["series"], [(100.0, 0.0), (110.0, 5e6), (120.0, 2e7)], 115.0, 20.0, dt=86400.0)
+    return out.select("series", "step", F.round("inflow", 5).alias("inflow"), F.round("outflow", 5).alias("outflow"), F.round("level", 7).alias("level"))
 
 
 @query("""WITH d AS (SELECT s_suppkey AS id, 1e5 + s_suppkey * 1e4 AS w, 5.0 + s_suppkey % 40 AS h, s_suppkey % 2 = 0 AS piping FROM supplier)
