@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,20 +132,11 @@ def march(x: np.ndarray, s: np.ndarray, z: np.ndarray, counts: np.ndarray, flow:
     return levels
 
 
-def profiles(reaches: list[list[tuple]], flow: float, n: float, slope: float, contraction: float, expansion: float, regime: str) -> tuple[np.ndarray, ...]:
-    """(level, lowest point, area, width) of every section of many reaches, lists of (station, [(s, z), ...]) by station, reach by reach."""
-    counts = np.array([len(r) for r in reaches])
-    points = max(len(pts) for r in reaches for _, pts in r)
-    x = np.zeros((len(reaches), counts.max()))
-    s, z = np.zeros((*x.shape, points)), np.zeros((*x.shape, points))
-    for i, r in enumerate(reaches):
-        for j, (station, pts) in enumerate(r):
-            x[i, j] = station
-            s[i, j, : len(pts)], z[i, j, : len(pts)] = zip(*pts)
-            s[i, j, len(pts) :], z[i, j, len(pts) :] = pts[-1]
+def profiles(x: np.ndarray, s: np.ndarray, z: np.ndarray, counts: np.ndarray, flow: float, n: float, slope: float, contraction: float, expansion: float, regime: str) -> tuple[np.ndarray, ...]:
+    """(level, lowest point, area, width) of every section of many reaches by station, reach by reach: arrays as march() takes them, padded."""
     held = np.arange(x.shape[1]) < counts[:, None]
     back = np.where(held, counts[:, None] - 1 - np.arange(x.shape[1]), np.arange(x.shape[1]))
-    row = np.arange(len(reaches))[:, None]
+    row = np.arange(len(x))[:, None]
     if regime != "super":
         ux, us, uz = x[row, back], s[row, back], z[row, back]
         first = np.maximum(normal_level(us[:, 0], uz[:, 0], flow, n, slope), critical_level(us[:, 0], uz[:, 0], flow))
@@ -161,36 +153,51 @@ def profiles(reaches: list[list[tuple]], flow: float, n: float, slope: float, co
     return w, z.min(-1), a, b
 
 
-def backwater(sections: DataFrame, reach: str, flow: float, n: float = 0.035, slope: float = 0.002, contraction: float = 0.1, expansion: float = 0.3, regime: str = "sub") -> DataFrame:
+def padded(values: np.ndarray, points: np.ndarray, sections: np.ndarray) -> np.ndarray:
+    """(reach, section, point) of values that lie end to end, by the numbers of points of sections and of sections of reaches. Short sections repeat their last point."""
+    ends, width = np.cumsum(points), int(points.max())
+    at = (ends - points)[:, None] + np.minimum(np.arange(width), points[:, None] - 1)
+    out = np.zeros((len(sections), int(sections.max()), width))
+    out[np.repeat(np.arange(len(sections)), sections), np.arange(len(points)) - np.repeat(np.cumsum(sections) - sections, sections)] = values[at]
+    return out
+
+
+def backwater(sections: DataFrame, reach: str, flow: float, n: float = 0.035, slope: float = 0.002, contraction: float = 0.1, expansion: float = 0.3, regime: str = "sub", most: int = 20_000) -> DataFrame:
     """Water surface along each reach (reach, station, pts): levels, depths, areas, velocities and Froude numbers.
 
     regime: sub (from the last station up), super (from the first down), or mixed (the larger specific force governs).
-    A reach is one row of its sections; reaches are marched together, about 20,000 points at a time."""
+    A reach is one row of its sections; reaches are marched together, about `most` points at a time, straight from
+    their Arrow arrays. Sections without points are left out."""
     kind = {f.name: f.dataType.simpleString() for f in sections.schema}[reach]
-    section = F.struct(F.col("station").cast("double").alias("station"), F.transform("pts", lambda p: F.struct(p["s"].cast("double").alias("s"), p["z"].cast("double").alias("z"))).alias("pts"))
-    rows = sections.groupBy(reach).agg(F.sort_array(F.collect_list(section)).alias("sections"))
+    of = lambda c: F.transform("pts", lambda p: p[c].cast("double")).alias(c)
+    section = F.struct(F.col("station").cast("double").alias("x"), of("s"), of("z"))
+    rows = sections.filter(F.size("pts") > 0).groupBy(reach).agg(F.sort_array(F.collect_list(section)).alias("sections")).select(reach, *[F.col(f"sections.{c}").alias(f"__{c}") for c in ("x", "s", "z")])
     names = [reach, "station", "level", "depth", "area", "width", "v", "fr", "energy"]
     schema = f"{reach} {kind}, station double, level double, depth double, area double, width double, v double, fr double, energy double"
 
-    def solved(ids: list, reaches: list[list[tuple]], key: pa.DataType) -> pa.RecordBatch:
-        w, low, a, b = profiles(reaches, flow, n, slope, contraction, expansion, regime)
-        v = flow / a
-        out = (np.array([x for r in reaches for x, _ in r]), w, w - low, a, b, v, v / np.sqrt(G * a / b), w + v * v / (2 * G))
-        return pa.RecordBatch.from_arrays([pa.array([i for i, r in zip(ids, reaches) for _ in r], key), *map(pa.array, out)], names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, reaches, most, total = [], [], 0, 0
-            for at in range(batch.num_rows):
-                one = [(x["station"], [(p["s"], p["z"]) for p in x["pts"]]) for x in batch.column(1)[at].as_py()]
-                ids.append(batch.column(0)[at].as_py())
-                reaches.append(one)
-                most, total = max(most, len(one)), max(total, max(len(p) for _, p in one))
-                if len(reaches) * most * total >= 20_000:
-                    yield solved(ids, reaches, batch.schema.field(0).type)
-                    ids, reaches, most, total = [], [], 0, 0
-            if reaches:
-                yield solved(ids, reaches, batch.schema.field(0).type)
+            counts = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            xs, inner = batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.column(2).flatten()
+            points = pc.list_value_length(inner).to_numpy(zero_copy_only=False).astype(np.int64)
+            s, z = inner.flatten().to_numpy(zero_copy_only=False), batch.column(3).flatten().flatten().to_numpy(zero_copy_only=False)
+            first_section, first_point = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(points)))
+            widest = np.maximum.reduceat(points, first_section[:-1])
+            at = 0
+            while at < batch.num_rows:
+                upto = at + 1
+                while upto < batch.num_rows and (upto + 1 - at) * counts[at : upto + 1].max() * widest[at : upto + 1].max() <= most:
+                    upto += 1
+                own, sections_of = slice(first_section[at], first_section[upto]), counts[at:upto]
+                values = slice(first_point[own.start], first_point[own.stop])
+                arrays = [padded(v[values], points[own], sections_of) for v in (s, z)]
+                x = padded(xs[own], sections_of, np.ones(len(sections_of), np.int64))[:, 0]
+                w, low, a, b = profiles(x, *arrays, sections_of, flow, n, slope, contraction, expansion, regime)
+                v = flow / a
+                out = (xs[own], w, w - low, a, b, v, v / np.sqrt(G * a / b), w + v * v / (2 * G))
+                ids = batch.column(0).take(pa.array(np.repeat(np.arange(at, upto), sections_of)))
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, out)], names)
+                at = upto
 
     return rows.mapInArrow(run, schema)
 

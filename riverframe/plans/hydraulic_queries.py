@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -117,13 +119,49 @@ def section_properties(spark, sf_dir):
     return p.select("l_orderkey", *[F.round(x, 5).alias(x) for x in ("area", "perimeter", "width")])
 
 
-@query()
+# The backwater query's section, 20 wide with walls of 30 to 1, at a depth y; n 0.035, flow 50.
+def _bw_area(y: str) -> str:
+    return f"(20 * {y} + {y} * {y} / 30)"
+
+
+def _bw_friction(y: str) -> str:
+    return f"power(50.0 * 0.035 / ({_bw_area(y)} * power({_bw_area(y)} / (20 + 2 * {y} * sqrt(1 + 1.0 / 900)), 2.0 / 3)), 2)"
+
+
+def _bw_head(y: str) -> str:
+    return f"(power(50.0 / {_bw_area(y)}, 2) / 19.62)"
+
+
+def _halved(lo: str, hi: str, below: str, steps: int, extra: str = "") -> str:
+    """A fold that halves an interval; below is a condition on (a.lo + a.hi) / 2. extra: further fields, the same in every element."""
+    first = f"{{'lo': ({lo})::DOUBLE, 'hi': ({hi})::DOUBLE{extra}}}"
+    keep = "".join(f", {name}: a.{name}" for name in re.findall(r", (\w+):", extra))
+    m = "((a.lo + a.hi) / 2)"
+    return f"list_reduce([{first}] || list_transform(range({steps}), lambda i: {first}), lambda a, k: CASE WHEN {below} THEN {{lo: {m}, hi: a.hi{keep}}} ELSE {{lo: a.lo, hi: {m}{keep}}} END)"
+
+
+_M = "((a.lo + a.hi) / 2)"
+_Y = f"({_M} - a.zb)"
+_MISS = f"{_M} + {_bw_head(_Y)} - (a.e0 + (a.s0 + {_bw_friction(_Y)}) / 2 * 100 + CASE WHEN a.v0 > {_bw_head(_Y)} THEN 0.1 ELSE 0.3 END * abs(a.v0 - {_bw_head(_Y)})) < 0"
+_AT = "zb + yc"
+
+
+@query(f"""WITH RECURSIVE {b.SECTIONS}, n AS (SELECT (x.lo + x.hi) / 2 AS yn FROM (SELECT {_halved("0", "4", f"{_bw_area(_M)} * power({_bw_area(_M)} / (20 + 2 * {_M} * sqrt(1 + 1.0 / 900)), 2.0 / 3) * sqrt(0.002) / 0.035 < 50", 80)} AS x)),
+c AS (SELECT (x.lo + x.hi) / 2 AS yc FROM (SELECT {_halved("1e-6", "100", f"2500 * (20 + {_M} / 15) / (9.81 * power({_bw_area(_M)}, 3)) > 1", 90)} AS x)),
+o AS (SELECT l_orderkey AS k, l_linenumber, 10.0::DOUBLE - l_linenumber * 0.2::DOUBLE AS zb, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS i, yn, yc FROM sec, n, c),
+r AS (SELECT k, i, zb, zb + greatest(yn, yc) AS w FROM o WHERE i = 1 UNION ALL
+  SELECT k, i, zb, CASE WHEN {_AT} + {_bw_head("yc")} - (e0 + (s0 + {_bw_friction("yc")}) / 2 * 100 * gap + CASE WHEN v0 > {_bw_head("yc")} THEN 0.1 ELSE 0.3 END * abs(v0 - {_bw_head("yc")})) < 0 THEN (x.lo + x.hi) / 2 ELSE {_AT} END
+  FROM (SELECT *, {_halved(_AT, f"{_AT} + 100", _MISS.replace("* 100 +", "* 100 * a.gap +"), 80, ", zb: zb, e0: e0, v0: v0, s0: s0, gap: gap")} AS x
+    FROM (SELECT o.k, o.i, o.zb, o.yc, (r.zb - o.zb) / -0.2 AS gap, r.w + {_bw_head("(r.w - r.zb)")} AS e0, {_bw_head("(r.w - r.zb)")} AS v0, {_bw_friction("(r.w - r.zb)")} AS s0 FROM r JOIN o ON o.k = r.k AND o.i = r.i + 1))),
+f AS (SELECT o.k AS reach, o.l_linenumber * 100.0::DOUBLE AS station, w, w - o.zb AS y FROM r JOIN o ON o.k = r.k AND o.i = r.i)
+SELECT reach, station, round(w, 5) AS level, round(y, 5) AS depth, round({_bw_area("y")}, 4) AS area, round(20 + y / 15, 5) AS width, round(50 / {_bw_area("y")}, 6) AS v, round(50 / {_bw_area("y")} / sqrt(9.81 * {_bw_area("y")} / (20 + y / 15)), 6) AS fr, round(w + {_bw_head("y")}, 5) AS energy FROM f""")
 def backwater_profile(spark, sf_dir):
     """A reach per order, its line items as sections a hundred metres apart."""
     c = b.sections(spark, sf_dir)
     z = 10.0 - F.col("l_linenumber") * 0.2
     pts = F.array(*[F.struct(F.lit(float(s)).alias("s"), (z + dz).alias("z")) for s, dz in ((0, 30), (1, 0), (21, 0), (22, 30))])
-    return hydraulics.backwater(c.select(F.col("l_orderkey").alias("reach"), (F.col("l_linenumber") * 100.0).alias("station"), pts.alias("pts")), "reach", flow=50.0)
+    out = hydraulics.backwater(c.select(F.col("l_orderkey").alias("reach"), (F.col("l_linenumber") * 100.0).alias("station"), pts.alias("pts")), "reach", flow=50.0)
+    return out.select("reach", F.col("station").cast("double").alias("station"), *[F.round(x, n).alias(x) for x, n in (("level", 5), ("depth", 5), ("area", 4), ("width", 5), ("v", 6), ("fr", 6), ("energy", 5))])
 
 
 @query("""WITH c AS (SELECT s_suppkey AS id, 1.0::DOUBLE + s_suppkey % 3 AS w, 1.5::DOUBLE AS d FROM supplier),

@@ -38,6 +38,15 @@ def test_backwater_of_a_uniform_reach(spark):
         assert len(got) == 10 and all(abs(r.depth - 2) < 0.01 and r.fr < 1 for r in got)
 
 
+def marched(reaches, regime):
+    """Profiles of reaches as lists of (station, [(s, z), ...])."""
+    counts = np.array([len(r) for r in reaches])
+    points = np.array([len(p) for r in reaches for _, p in r])
+    s, z = (hydraulics.padded(np.array([p[i] for r in reaches for _, pts in r for p in pts]), points, counts) for i in (0, 1))
+    x = hydraulics.padded(np.array([x for r in reaches for x, _ in r]), counts, np.ones(len(reaches), int))[:, 0]
+    return hydraulics.profiles(x, s, z, counts, 30.0, 0.03, 0.002, 0.1, 0.3, regime)
+
+
 def test_backwater_of_many_reaches_is_that_of_each(spark):
     r = np.random.default_rng(5)
     reaches = {}
@@ -45,8 +54,8 @@ def test_backwater_of_many_reaches_is_that_of_each(spark):
         ends = [(0.0, 40.0), *((float(x), float(r.uniform(0, 3))) for x in range(1, r.integers(3, 9))), (9.0, 40.0)]
         reaches[i] = [(50.0 * k, [(s, z - 0.1 * k) for s, z in ends]) for k in range(r.integers(1, 6))]
     for regime in ("sub", "super", "mixed"):
-        whole = hydraulics.profiles(list(reaches.values()), 30.0, 0.03, 0.002, 0.1, 0.3, regime)
-        single = [np.concatenate(x) for x in zip(*(hydraulics.profiles([x], 30.0, 0.03, 0.002, 0.1, 0.3, regime) for x in reaches.values()))]
+        whole = marched(list(reaches.values()), regime)
+        single = [np.concatenate(x) for x in zip(*(marched([x], regime) for x in reaches.values()))]
         assert all(np.allclose(a, b, rtol=0, atol=1e-9) for a, b in zip(whole, single))
     df = spark.createDataFrame([(i, x, p) for i, rows in reaches.items() for x, p in rows], "reach int, station double, pts array<struct<s:double,z:double>>").repartition(3)
     got = {(x.reach, x.station): x.level for x in hydraulics.backwater(df, "reach", 30.0, n=0.03, regime="mixed").collect()}
