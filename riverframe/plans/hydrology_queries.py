@@ -112,12 +112,22 @@ def grubbs_beck_flags(spark, sf_dir):
     return g.groupBy("st", F.round("high", 2).alias("high"), F.round("low", 2).alias("low")).agg(F.count(F.when(F.col("is_high"), 1)).alias("n_high"), F.count(F.when(F.col("is_low"), 1)).alias("n_low"))
 
 
+def _gamma_halves(rows: str, steps: int, terms: int) -> str:
+    """A recursion that halves the interval of each gamma quantile; the regularised function is the sum of its series, term by term."""
+    return f"""SELECT st, t, power(mean / std, 2) AS s, std * std / mean AS scale, 1 - 1 / t AS p, 0.0::DOUBLE AS lo, power(mean / std, 2) + 15 * mean / std + 60 AS hi, 0 AS i FROM {rows}
+  UNION ALL SELECT st, t, s, scale, p, CASE WHEN c < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN c < p THEN hi ELSE (lo + hi) / 2 END, i + 1
+  FROM (SELECT *, list_sum(list_transform(range({terms}), lambda k: exp((s + k) * ln((lo + hi) / 2) - (lo + hi) / 2 - lgamma(s + k + 1)))) AS c FROM {"g" if terms > 1000 else "gah"} WHERE i < {steps})"""
+
+
 def _chi2_sql(dists=("normal", "gumbel")) -> str:
     used = " ".join(f"WHEN dist = '{d}' THEN {n}" for d, n in frequency.PARAMETERS.items())
-    parts = " UNION ALL ".join(f"SELECT mo.*, '{d}' AS dist, 1 - 1 / t AS p, {sql_quantile(d, '(1 - 1 / t)')} AS x FROM mo, kn" for d in dists)
+    parts = " UNION ALL ".join(f"SELECT mo.*, 'gamma' AS dist, gam.p, gam.x FROM mo JOIN gam USING (st)" if d == "gamma" else f"SELECT mo.*, '{d}' AS dist, 1 - 1 / t AS p, {sql_quantile(d, '(1 - 1 / t)')} AS x FROM mo, kn" for d in dists)
+    gamma = ""
+    if "gamma" in dists:
+        gamma = f"""gah AS ({_gamma_halves("mo, kn", 60, 800)}), gam AS (SELECT st, p, (lo + hi) / 2 * scale AS x FROM gah WHERE i = 60),"""
     crit = ", ".join(map(repr, stats.CHI2_5))
     return f"""WITH RECURSIVE {b.SERIES}, {b.MOMENTS}, kn AS (SELECT 1.0001::DOUBLE AS t UNION ALL SELECT t * 1.15 FROM kn WHERE t * 1.15 <= 100000),
-    q AS ({parts}),
+    {gamma} q AS ({parts}),
     tab AS (SELECT st, dist, n, mn, mx, greatest(5, least(20, floor(1.5 + 3.322 * log10(n))))::INTEGER AS k, list(x ORDER BY x, p) AS xs, list(p ORDER BY x, p) AS ps FROM q GROUP BY ALL),
     bins AS (SELECT *, (mx - mn) / k AS w, unnest(range(k))::INTEGER AS i FROM tab),
     edges AS (SELECT *, mn + w * i AS lo, CASE WHEN i = k - 1 THEN mx + 1e-9 ELSE mn + w * (i + 1) END AS hi FROM bins),
@@ -142,18 +152,17 @@ def best_distribution(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {b.SERIES}, {b.MOMENTS}, ts AS (SELECT t FROM (VALUES {", ".join(f"({float(t)!r}::DOUBLE)" for t in PERIODS)}) v(t)),
-g AS (SELECT st, t, power(mean / std, 2) AS s, std * std / mean AS scale, 1 - 1 / t AS p, 0.0::DOUBLE AS lo, power(mean / std, 2) + 15 * mean / std + 60 AS hi, 0 AS i FROM mo, ts
-  UNION ALL SELECT st, t, s, scale, p, CASE WHEN c < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN c < p THEN hi ELSE (lo + hi) / 2 END, i + 1
-  FROM (SELECT *, list_sum(list_transform(range(2000), lambda k: exp((s + k) * ln((lo + hi) / 2) - (lo + hi) / 2 - lgamma(s + k + 1)))) AS c FROM g WHERE i < 70))
+g AS ({_gamma_halves("mo, ts", 70, 2000)})
 SELECT st, t, 'gamma' AS dist, round((lo + hi) / 2 * scale / 1000, 4) AS q_thousands FROM g WHERE i = 70""")
 def gamma_quantiles(spark, sf_dir):
     return quantiles(spark, sf_dir, ("gamma",)).select("st", "t", "dist", F.round(F.col("q") / 1000, 4).alias("q_thousands"))
 
 
-@query()
+@query(f"""SELECT st, dist, x2, df, critical, accepted FROM ({_chi2_sql(stats.DISTRIBUTIONS)}) z
+QUALIFY row_number() OVER (PARTITION BY st ORDER BY accepted DESC, x2, CASE dist {" ".join(f"WHEN '{d}' THEN {i}" for i, d in enumerate(stats.DISTRIBUTIONS))} END) = 1""")
 def best_of_six(spark, sf_dir):
     s = b.series(spark, sf_dir)
-    return frequency.best(frequency.chi_square(s, fits(spark, sf_dir), ["st"]), ["st"])
+    return frequency.best(frequency.chi_square(s, fits(spark, sf_dir), ["st"]), ["st"]).select("st", "dist", F.round("x2", 4).alias("x2"), "df", "critical", "accepted")
 
 
 def station_table(spark, sf_dir):

@@ -99,7 +99,11 @@ def snow_line_by_latitude(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), F.round(line, 4).alias("snow_line"))
 
 
-@query()
+# Levels fall round by round: a cell takes the lowest of what its neighbours' levels, a thousandth higher, allow over its own ground.
+@query(f"""WITH RECURSIVE {b.RASTER}, e AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM ras), o(dr, dc) AS (VALUES (0, 0), {", ".join(map(str, terrain.N8))}),
+f AS (SELECT 0 AS i, row, col, CASE WHEN row IN (r0, r1) OR col IN (c0, c1) THEN z::FLOAT ELSE 'inf'::FLOAT END AS f FROM ras, e
+  UNION ALL SELECT f.i + 1, t.row, t.col, min(CASE WHEN dr = 0 AND dc = 0 THEN f.f ELSE greatest(t.z::FLOAT, (f.f::DOUBLE + 0.001)::FLOAT) END) FROM f JOIN o ON f.i < 150 JOIN ras t ON t.row = f.row + dr AND t.col = f.col + dc GROUP BY f.i, t.row, t.col)
+SELECT row // 50 AS grid, row, col, f::DOUBLE AS z FROM f WHERE i = 150""")
 def fill_sinks(spark, sf_dir):
     """All parts as one raster, filled in tiles; grid is the tile, fifty rows of fifty parts."""
     filled = terrain.fill_raster(b.part_raster(spark, sf_dir), tile=50)
