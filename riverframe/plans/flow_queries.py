@@ -22,14 +22,14 @@ def basins(spark, sf_dir):
     )
 
 
-def _by_zone(part: int, x: str) -> str:
+def by_zone(part: int, x: str) -> str:
     return "CASE zone " + " ".join(f"WHEN {z} THEN {rows[part][0]!r} * power({x}, {rows[part][1]!r})" for z, rows in river.UNIT_ZONES.items()) + " END"
 
 
 STORM = f"""ba0 AS (SELECT s_suppkey AS basin, 5.0::DOUBLE + s_suppkey % 40 AS length, 2.0::DOUBLE + s_suppkey % 17 AS lg, 0.01::DOUBLE + (s_suppkey % 9)::DOUBLE / 100 AS slope, 20.0::DOUBLE + s_suppkey * 7 % 400 AS area, 1 + s_suppkey % 3 AS zone,
   60.0::DOUBLE + s_suppkey % 35 AS cn, 40.0::DOUBLE + s_suppkey % 80 AS total, 6.0::DOUBLE + s_suppkey % 18 AS dur, ['alternating', 'triangular', 'uniform'][s_suppkey % 3 + 1] AS pattern, CASE WHEN s_suppkey % 2 = 1 THEN 0.5::DOUBLE END AS dt, (s_suppkey % 4)::DOUBLE / 2 AS base FROM supplier),
-ba1 AS (SELECT *, {_by_zone(0, 'length * lg / sqrt(slope)')} AS tp FROM ba0),
-ba AS (SELECT * REPLACE (coalesce(dt, tp / 5.5) AS dt), {_by_zone(2, 'tp')} * area / 1000 AS qpa FROM ba1),
+ba1 AS (SELECT *, {by_zone(0, 'length * lg / sqrt(slope)')} AS tp FROM ba0),
+ba AS (SELECT * REPLACE (coalesce(dt, tp / 5.5) AS dt), {by_zone(2, 'tp')} * area / 1000 AS qpa FROM ba1),
 bl AS (SELECT *, greatest(1, floor(dur / dt + 0.5))::BIGINT AS n FROM ba),
 st0 AS (SELECT *, unnest(range(n)) AS step, (n - 1) // 2 AS mid FROM bl),
 st1 AS (SELECT *, CASE WHEN step <= mid THEN 2 * (mid - step) ELSE 2 * (step - mid) - 1 END AS r FROM st0),
@@ -142,7 +142,7 @@ def _sql_methods() -> str:
     zones = ", ".join(f"('Z{i}', 'L{i % 3}', {1.2 + i / 10!r}::DOUBLE, {i})" for i in range(6))
     ratio = f"(CASE WHEN __z.i < 5 THEN {h.sql_log_table('t', h.CURVE_T, h.CURVE, True)} * (1 + __z.i::DOUBLE / 20) END)"
     fra = "least(1.0, greatest(0.4, 1.1032 - 0.03474 * ln(greatest(1.0, area))))"
-    unit = _by_zone(2, f"({_by_zone(0, 'length * lg / sqrt(0.01)')})")
+    unit = by_zone(2, f"({by_zone(0, 'length * lg / sqrt(0.01)')})")
     return f"""WITH {h.STATIONS}, {b.MOMENTS}, {h.sql_quantiles(FITTED)}, {CHOSEN},
     fl AS (SELECT qu.st, t, q / 1000 AS q FROM qu JOIN cho ON cho.st = qu.st AND cho.dist = qu.dist),
     gu AS (SELECT st, t, q / 5000 * 1.10 AS p24 FROM qu WHERE dist = 'gumbel'),

@@ -11,6 +11,7 @@ from ..operators import channels, geometry, terrain
 from ..tables import cut
 from . import bindings as b
 from .channel_queries import BASIN, CELL, FLOW
+from .flow_queries import by_zone
 from .registry import query
 
 # A triangle per supplier: a corner and two others up to a dozen units away, with heights.
@@ -120,12 +121,8 @@ def web_mercator(spark, sf_dir):
     return m.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round(geo.mercator_lon(F.col("x"), F.col("zoom")), 8).alias("lon"), F.round(geo.mercator_lat(F.col("y"), F.col("zoom")), 8).alias("lat"))
 
 
-def _by_zone(part: int, x: str) -> str:
-    return "CASE zone " + " ".join(f"WHEN {z} THEN {rows[part][0]!r} * power({x}, {rows[part][1]!r})" for z, rows in river.UNIT_ZONES.items()) + " END"
-
-
-@query(f"""WITH p AS (SELECT p_partkey AS id, 1.0::DOUBLE + p_size AS l, 0.5::DOUBLE + p_size / 3.0 AS lg, 0.001::DOUBLE + p_retailprice / 100000 AS s, (10 + p_size * 5)::DOUBLE AS a, 1 + p_partkey % 3 AS zone FROM part), t AS (SELECT *, {_by_zone(0, 'l * lg / sqrt(s)')} AS tp FROM p)
-SELECT id, round(tp, 6) AS tp, round(tp / 5.5, 6) AS tu, round({_by_zone(1, 'tp')}, 5) AS tb, round({_by_zone(2, 'tp')}, 6) AS qp, round({_by_zone(2, 'tp')} * a / 1000, 6) AS qpa FROM t""")
+@query(f"""WITH p AS (SELECT p_partkey AS id, 1.0::DOUBLE + p_size AS l, 0.5::DOUBLE + p_size / 3.0 AS lg, 0.001::DOUBLE + p_retailprice / 100000 AS s, (10 + p_size * 5)::DOUBLE AS a, 1 + p_partkey % 3 AS zone FROM part), t AS (SELECT *, {by_zone(0, 'l * lg / sqrt(s)')} AS tp FROM p)
+SELECT id, round(tp, 6) AS tp, round(tp / 5.5, 6) AS tu, round({by_zone(1, 'tp')}, 5) AS tb, round({by_zone(2, 'tp')}, 6) AS qp, round({by_zone(2, 'tp')} * a / 1000, 6) AS qpa FROM t""")
 def unit_hydrograph_parameters(spark, sf_dir):
     size, price, k = F.col("p_size"), F.col("p_retailprice"), F.col("p_partkey")
     h = river.unit_hydrograph(1.0 + size, 0.5 + size / 3.0, 0.001 + price / 100000, (10 + size * 5).cast("double"), 1 + k % 3)
