@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own: dict[str, str] = {}
 
 
@@ -32,23 +36,34 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="riverframe-"))
 
 
-def table(df: DataFrame, name: str, **options: str) -> DataFrame:
+def table(df: DataFrame, name: str, batch: int | None = None, **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The shuffle files of the write go as soon as it has ended, not when the driver next collects garbage."""
+    The shuffle files of the write go as soon as it has ended, not when the driver next collects garbage. With `batch`,
+    Arrow functions get so many rows at a time: what a task holds of whole texts on either side of the pipe."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true"} | ({BATCH: str(batch)} if batch else {})
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         df.write.options(**options).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out.riverframe_path = path
     return out
 
 
+def give_back() -> None:
+    """Return to the system what an Arrow function has freed: worker processes stay after a task, and others need the memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the files of table() results that no later step reads: call it once what came of them is written itself."""
     for t in tables:

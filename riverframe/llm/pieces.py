@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, give_back
 
 #: Rows that go back to Spark at a time, which bounds what a task holds besides its table.
-ROWS = 256
+ROWS = 64
 #: Most bytes of a task's table, as counted below, and the longest chunk that it keeps.
-TABLE_BYTES, LONGEST = 24 << 20, 64
+TABLE_BYTES, LONGEST = 16 << 20, 64
 #: Bytes that an entry takes besides its characters and its ids: two objects and their place in the dictionary.
 ENTRY = 200
 #: Chunks of a text that are looked up at a time.
@@ -113,7 +113,9 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             if keep_ids:
                 columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names)
-        table.clear()  # the worker stays, for other tasks and other functions
+        # The worker stays, for other tasks and other functions.
+        table.clear()
+        give_back()
 
     coded = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
     return coded.withColumnRenamed("id", id_col)

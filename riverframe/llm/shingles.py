@@ -75,7 +75,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes, np.diff(at)
 
 
-def shingle_sets(texts: pa.Array, k: int, limit: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def shingle_sets(texts: pa.Array, k: int, limit: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For parts of a batch of about `limit` bytes: (distinct shingles text after text, each text's sorted; their numbers).
 
     A text with fewer than k words has its whole sequence as one shingle; without words it has none."""
