@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import documents, give_back
 
 #: Rows that go back to Spark at a time, which bounds what a task holds besides its table.
-ROWS = 64
+ROWS = 256
 #: Most bytes of a task's table, as counted below, and the longest chunk that it keeps.
-TABLE_BYTES, LONGEST = 16 << 20, 64
+TABLE_BYTES, LONGEST = 40 << 20, 64
 #: Bytes that an entry takes besides its characters and its ids: two objects and their place in the dictionary.
 ENTRY = 200
 #: Chunks of a text that are looked up at a time.
