@@ -122,23 +122,26 @@ _ln_gamma = np.vectorize(math.lgamma, otypes=[float])
 
 
 def np_gamma_p(s: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised lower incomplete gamma: power series below s + 1, continued fraction (Lentz) above."""
+    """Regularised lower incomplete gamma: power series below s + 1, continued fraction (Lentz) above.
+
+    Near x = s both need some multiple of sqrt(s) terms, so their number follows the largest s."""
     s, x = np.broadcast_arrays(np.asarray(s, float), np.asarray(x, float))
+    most = 400 + int(20 * math.sqrt(np.max(s, initial=0.0, where=np.isfinite(s))))
     with np.errstate(all="ignore"):
         front = np.exp(-x + s * np.log(x) - _ln_gamma(s))
         term = total = 1 / s
         a = s.copy()
-        for _ in range(400):
+        for _ in range(most):
             a = a + 1
             term = term * x / a
             total = total + term
-            if np.all((np.abs(term) <= np.abs(total) * 1e-14) | (x >= s + 1)):
+            if np.all(~(np.abs(term) > np.abs(total) * 1e-14) | (x >= s + 1)):
                 break
         b = x + 1 - s
         c = np.full_like(b, 1e300)
         d = 1 / np.where(b == 0, 1e-300, b)
         h = d.copy()
-        for i in range(1, 400):
+        for i in range(1, most):
             an = -i * (i - s)
             b = b + 2
             d = an * d + b
@@ -146,7 +149,7 @@ def np_gamma_p(s: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = b + an / c
             c = np.where(np.abs(c) < 1e-300, 1e-300, c)
             h = h * d * c
-            if np.all((np.abs(d * c - 1) < 1e-14) | (x < s + 1)):
+            if np.all(~(np.abs(d * c - 1) >= 1e-14) | (x < s + 1)):
                 break
         return np.where(x <= 0, 0.0, np.where(x < s + 1, total * front, 1 - front * h))
 
