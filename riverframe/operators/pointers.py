@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import cut, drop
+from ..tables import cut, drop, meet
 
 
 def follow(links: DataFrame, node: Sequence[str], to: Sequence[str], sums: Sequence[str] = (), maxima: Sequence[str] = ()) -> DataFrame:
@@ -31,7 +31,7 @@ def follow(links: DataFrame, node: Sequence[str], to: Sequence[str], sums: Seque
         told = reduce(DataFrame.unionByName, [t.filter("done") for t in tables[:-1]] + [tables[-1]])
         told = told.select(*[F.col(n).alias(f"__{e}") for n, e in zip(node, ends)], *[F.col(e).alias(f"__far_{e}") for e in ends], *[F.col(c).alias(f"__{c}") for c in known], F.col("done").alias("__done"))
         on = reduce(lambda a, b: a & b, [F.col(e) == F.col(f"__{e}") for e in ends])
-        moved = tables[-1].filter("not done").join(told, on, "left")
+        moved = meet(tables[-1].filter("not done"), told, on, "left")
         tables.append(cut(moved.select(*node, *[F.col(f"__far_{e}").alias(e) for e in ends], *[f(F.col(c), F.col(f"__{c}")).alias(c) for c, f in known.items()], F.coalesce("__done", F.lit(True)).alias("done"))))
     out = cut(reduce(DataFrame.unionByName, [t.filter("done").drop("done") for t in tables]))
     drop(*tables)
@@ -54,7 +54,7 @@ def along(links: DataFrame, start: DataFrame, node: Sequence[str], to: Sequence[
             raise ValueError("pointers run in a circle")
         so_far = reduce(DataFrame.unionByName, found)
         here = jump.select(*node, *far, *[F.col(c).alias(f"__{c}") for c in sums])
-        more = cut(so_far.join(here, list(node)).select(*others, *[F.col(f).alias(c) for f, c in zip(far, node)], (F.col("i") + steps).alias("i"), *[(F.col(c) + F.col(f"__{c}")).alias(c) for c in sums]))
+        more = cut(meet(so_far, here, list(node)).select(*others, *[F.col(f).alias(c) for f, c in zip(far, node)], (F.col("i") + steps).alias("i"), *[(F.col(c) + F.col(f"__{c}")).alias(c) for c in sums]))
         if more.isEmpty():
             out = cut(so_far)
             drop(more, *found, *jumps)
@@ -62,6 +62,6 @@ def along(links: DataFrame, start: DataFrame, node: Sequence[str], to: Sequence[
         found.append(more)
         on = [F.col(f) == F.col(f"__{c}") for f, c in zip(far, node)]
         then = jump.select(*[F.col(c).alias(f"__{c}") for c in node], *[F.col(f).alias(f"__{f}") for f in far], *[F.col(c).alias(f"__{c}") for c in sums])
-        jump = cut(jump.join(then, reduce(lambda a, b: a & b, on)).select(*node, *[F.col(f"__{f}").alias(f) for f in far], *[(F.col(c) + F.col(f"__{c}")).alias(c) for c in sums]))
+        jump = cut(meet(jump, then, reduce(lambda a, b: a & b, on)).select(*node, *[F.col(f"__{f}").alias(f) for f in far], *[(F.col(c) + F.col(f"__{c}")).alias(c) for c in sums]))
         jumps.append(jump)
         steps *= 2

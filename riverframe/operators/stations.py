@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..tables import cut, drop
+from ..tables import cut, drop, meet
 
 #: Points that a smallest tile of nearest() holds on average, how often a tile is divided each way at a time, and km of a degree of a great circle, rounded up.
 POINTS, PARTS, DEGREE_KM = 64, 4, 111.2
@@ -144,10 +144,10 @@ def upstream(basins: DataFrame, start: DataFrame, node: str = "id", down: str =
     jump = basins.select(F.col(node).alias("up"), F.col(down).alias("down")).filter("up is not null and down is not null").distinct()
     seen = start.select(F.col(node).alias("root"), F.col(node).alias("id")).distinct()
     while True:
-        more = seen.join(jump, F.col("down") == F.col("id")).select("root", F.col("up").alias("id")).distinct()
-        more = cut(more.join(seen, ["root", "id"], "left_anti"))
+        more = meet(seen, jump, F.col("down") == F.col("id")).select("root", F.col("up").alias("id")).distinct()
+        more = cut(meet(more, seen, ["root", "id"], "left_anti"))
         if more.isEmpty():
             return seen
         seen = cut(seen.union(more))
         far = jump.select(F.col("up").alias("down"), F.col("down").alias("far"))
-        jump = cut(jump.join(far, "down").select("up", F.col("far").alias("down")).distinct())
+        jump = cut(meet(jump, far, "down").select("up", F.col("far").alias("down")).distinct())

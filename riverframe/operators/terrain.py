@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import cut, drop
+from ..tables import cut, drop, meet
 
 # The eight neighbours in the order in which ties are broken (drow, dcol).
 N8 = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
@@ -167,10 +167,10 @@ def accumulate(directions: DataFrame, keys: Sequence[str] = (), rounds: int = 40
     for i in range(rounds):
         if jump.isEmpty():
             break
-        sent = jump.join(acc, cell).groupBy(*keys, F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("acc").alias("more"))
-        acc = acc.join(sent, cell, "left").select(*cell, (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"))
+        sent = meet(jump, acc, cell).groupBy(*keys, F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("acc").alias("more"))
+        acc = meet(acc, sent, cell, "left").select(*cell, (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"))
         far = jump.select(*keys, F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("r2"), F.col("to_col").alias("c2"))
-        jump = jump.join(far, [*keys, "to_row", "to_col"]).select(*cell, F.col("r2").alias("to_row"), F.col("c2").alias("to_col"))
+        jump = meet(jump, far, [*keys, "to_row", "to_col"]).select(*cell, F.col("r2").alias("to_row"), F.col("c2").alias("to_col"))
         acc, jump = cut(acc), cut(jump)
         drop(*old)
         old = [acc, jump]
@@ -182,12 +182,12 @@ def watershed(directions: DataFrame, outlets: DataFrame, keys: Sequence[str] = (
 
     Pointers stop at outlets and are doubled until none moves."""
     cell = [*keys, "row", "col"]
-    marked = directions.join(outlets.select(*cell, "outlet"), cell, "left")
+    marked = meet(directions, outlets.select(*cell, "outlet"), cell, "left")
     at = marked.select(*cell, F.when(F.col("outlet").isNull(), F.col("to_row")).alias("to_row"), F.when(F.col("outlet").isNull(), F.col("to_col")).alias("to_col"), "outlet")
     old = None
     for _ in range(rounds):
         step = at.select(*keys, F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("r2"), F.col("to_col").alias("c2"), F.col("outlet").alias("o2"))
-        at = cut(at.join(step, [*keys, "to_row", "to_col"], "left").select(*cell, F.col("r2").alias("to_row"), F.col("c2").alias("to_col"), F.coalesce("outlet", "o2").alias("outlet")))
+        at = cut(meet(at, step, [*keys, "to_row", "to_col"], "left").select(*cell, F.col("r2").alias("to_row"), F.col("c2").alias("to_col"), F.coalesce("outlet", "o2").alias("outlet")))
         if old is not None:
             drop(old)
         old = at
@@ -201,7 +201,7 @@ def snap_outlet(acc: DataFrame, points: DataFrame, radius: int, least_cells: int
     spread = F.sequence(F.lit(-radius), F.lit(radius))
     w = points.select("point_id", "row", "col").withColumn("dr", F.explode(spread)).withColumn("dc", F.explode(spread))
     w = w.select("point_id", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"))
-    met = w.join(acc, ["row", "col"])
+    met = meet(w, acc, ["row", "col"])
     enough = (F.col("acc") >= least_cells).cast("int")
     order = F.struct((-enough).alias("e"), F.when(enough == 1, F.col("d2")).otherwise(-F.col("acc")).alias("k"), "row", "col")
     return met.groupBy("point_id").agg(F.min(order).alias("b")).select("point_id", "b.row", "b.col")
@@ -211,7 +211,7 @@ def drainage(acc: DataFrame, directions: DataFrame, least_cells: int) -> DataFra
     """Segments of the drainage network: cells of enough accumulation whose receiver has enough as well."""
     big = acc.filter(F.col("acc") >= least_cells).select("row", "col", "acc")
     to = big.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"))
-    return big.join(directions, ["row", "col"]).join(to, ["to_row", "to_col"], "left_semi").select("row", "col", "to_row", "to_col", "acc")
+    return meet(meet(big, directions, ["row", "col"]), to, ["to_row", "to_col"], "left_semi").select("row", "col", "to_row", "to_col", "acc")
 
 
 def morphometry(cells: DataFrame, cell_x_m: float, cell_y_m: float, keys: Sequence[str] = ("outlet",)) -> DataFrame:
