@@ -104,9 +104,9 @@ a AS (SELECT point_id, (count(*) * {CELL * CELL / 1e6})::DOUBLE AS area, max(z)
 SELECT point_id, round(area, 6) AS area_km2, round(relief, 5) AS relief_m, round(row, 6) AS row, round(col, 6) AS col, round(per, 5) AS perimeter_km, round(0.28 * per / sqrt(area), 5) AS compactness FROM a JOIN pe USING (point_id)""")
 def basin_morphometry(spark, sf_dir):
     """Measures of each supplier's basin."""
-    ground = b.valley(spark, sf_dir)
-    cells = channels.basins_of(cut(terrain.flow_directions(ground)), b.supplier_cells(spark, sf_dir)).join(ground, ["row", "col"])
-    m = terrain.morphometry(cells, CELL, CELL, ["point_id"])
+    ground = cut(b.valley(spark, sf_dir)).withColumns({"r": F.col("row"), "c": F.col("col")})
+    totals = channels.basin_totals(cut(terrain.flow_directions(ground)), b.supplier_cells(spark, sf_dir), ground, ["r", "c"], ["z"], ["z"], sides=True)
+    m = channels.morphometry_of(totals, CELL)
     return m.select("point_id", F.round("area_km2", 6).alias("area_km2"), F.round("relief_m", 5).alias("relief_m"), F.round("row", 6).alias("row"), F.round("col", 6).alias("col"), F.round("perimeter_km", 5).alias("perimeter_km"), F.round("compactness", 5).alias("compactness"))
 
 
