@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..tables import cut, meet
 from .axes import nearest_segment  # noqa: F401
 
+#: Triangles that locate() tries first.
+FIRST = 1024
+
 
 def resample(lines: DataFrame, keys: Sequence[str], n: int, ring: str = "line") -> DataFrame:
     """n equidistant points along each polyline array<struct<lon,lat>>: (keys, i, s, lon, lat), s in metres.
@@ -59,7 +64,10 @@ def rasterize_tin(triangles: DataFrame, keys: Sequence[str], x0: float, y0: floa
 
 
 def locate(points: DataFrame, triangles: DataFrame, cell: float, tolerance: float = 1e-3) -> DataFrame:
-    """First triangle that holds each point, with barycentric weights: (point_id, tri, a, b, c). Both sides meet on grid cells."""
+    """First triangle that holds each point, with barycentric weights: (point_id, tri, a, b, c). Both sides meet on grid cells.
+
+    Triangles come in the order of tri, FIRST of them and then sixteen times as many each time, and only points that none
+    of those before holds go on to the next: where triangles lie many deep, a point does not meet them all."""
     at = lambda v: F.floor(v / cell).cast("int")
     lo, hi = (lambda c: F.least(*[F.col(f"{c}{i}") for i in (1, 2, 3)])), (lambda c: F.greatest(*[F.col(f"{c}{i}") for i in (1, 2, 3)]))
     t = triangles.withColumn("r", F.explode(F.sequence(at(lo("y")), at(hi("y"))))).withColumn("q", F.explode(F.sequence(at(lo("x")), at(hi("x")))))
@@ -69,8 +77,16 @@ def locate(points: DataFrame, triangles: DataFrame, cell: float, tolerance: floa
     d = (y2 - y3) * (x1 - x3) + (x3 - x2) * (y1 - y3)
     a = ((y2 - y3) * (x - x3) + (x3 - x2) * (y - y3)) / F.when(d != 0, d)
     b = ((y3 - y1) * (x - x3) + (x1 - x3) * (y - y3)) / F.when(d != 0, d)
-    rows = p.join(t, ["r", "q"]).withColumns({"a": a, "b": b}).withColumn("c", 1 - F.col("a") - F.col("b")).filter(F.least("a", "b", "c") >= -tolerance)
-    return rows.groupBy("point_id").agg(F.min(F.struct("tri", "a", "b", "c")).alias("m")).select("point_id", "m.*")
+    found, some, left, low = [], FIRST, p, None
+    while True:
+        high, n = triangles.select("tri").orderBy("tri").limit(some).agg(F.max("tri"), F.count("tri")).first()
+        band = t if n < some else t.filter(F.col("tri") <= high)
+        rows = left.join(band if low is None else band.filter(F.col("tri") > low), ["r", "q"])
+        rows = rows.withColumns({"a": a, "b": b}).withColumn("c", 1 - F.col("a") - F.col("b")).filter(F.least("a", "b", "c") >= -tolerance)
+        found.append(cut(rows.groupBy("point_id").agg(F.min(F.struct("tri", "a", "b", "c")).alias("m")).select("point_id", "m.*")))
+        if n < some:
+            return reduce(DataFrame.unionByName, found)
+        left, low, some = cut(meet(left, found[-1].select("point_id"), "point_id", "left_anti")), high, some * 16
 
 
 def mesh_edges(triangles: DataFrame) -> DataFrame:

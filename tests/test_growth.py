@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from riverframe.operators import channels, terrain
+from riverframe.operators import channels, geometry, terrain
 
 
 def ground(spark, rows=40, cols=30, seed=3):
@@ -59,3 +59,17 @@ def test_low_part_of_basins(spark):
     want = channels.basins_of(directions, points).join(cells, ["row", "col"]).join(z0, "point_id").filter("z < z0 + 6")
     rows = lambda df: sorted(map(tuple, df.select("point_id", "row", "col", "z").collect()))
     assert rows(channels.low_basins(directions, points, cells, 6.0)) == rows(want)
+
+
+def test_points_below_many_triangles(spark, monkeypatch):
+    """Triangles that lie many deep come in bands; the first that holds a point is the same as without bands."""
+    rng = random.Random(8)
+    corners = [[rng.uniform(0, 20) for _ in range(2)] for _ in range(60)]
+    tri = spark.createDataFrame([(i, x, y, x + rng.uniform(1, 5), y + rng.uniform(0, 2), x + rng.uniform(0, 2), y + rng.uniform(1, 5)) for i, (x, y) in enumerate(corners)], "tri int, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")
+    points = spark.createDataFrame([(i, rng.uniform(0, 24), rng.uniform(0, 24)) for i in range(300)], "point_id int, x double, y double")
+    whole = sorted(map(tuple, geometry.locate(points, tri, 4.0).collect()))
+    tried = []
+    monkeypatch.setattr(geometry, "FIRST", 3)
+    monkeypatch.setattr(geometry, "cut", lambda df: tried.append(df.count()) or df)
+    assert sorted(map(tuple, geometry.locate(points, tri, 4.0).collect())) == whole
+    assert len(tried) > 3 and 0 < len(whole) < 300
