@@ -14,10 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import cut, drop
+from ..tables import cut, drop, meet
 
 #: Points that a smallest tile holds on average, segments of a key below which tiles do not pay, and how often a tile is divided each way at a time.
 POINTS, SEGMENTS, PARTS = 64, 8, 4
+#: How often tiles are divided at most: a tile's number still fits an int.
+DEEPEST = 12
 
 
 def share(x: Column, y: Column) -> Column:
@@ -32,6 +34,29 @@ def distance(x: Column, y: Column, t: Column) -> Column:
     return F.hypot(x - (x1 + t * (x2 - x1)), y - (y1 + t * (y2 - y1)))
 
 
+def tile(v: Column, v0: Column, parts: int) -> Column:
+    """The number of the tile that holds v, of `parts` along the side of a box that begins at v0."""
+    at = F.floor((v - v0) * parts / F.when(F.col("side") > 0, F.col("side")).otherwise(1.0))
+    return F.least(F.lit(parts - 1), F.greatest(F.lit(0), at)).cast("int")
+
+
+def levels_needed(placed: DataFrame, by: Sequence[str], many: int) -> int:
+    """How often tiles are divided until a point shares its tile with POINTS places at most, on average over points.
+
+    Counted, as points may fill a strip or a corner of their box only: then most tiles hold none and the others more."""
+    level = max(0, math.ceil(math.log(max(1, many / POINTS), PARTS * PARTS)))
+    if level in (0, DEEPEST):
+        return level
+    places = cut(placed.select(*by, *[tile(F.col(c), F.col(f"{c}0"), PARTS**DEEPEST).alias(f"t{c}") for c in "xy"]).distinct())
+    while level < DEEPEST:
+        held = places.groupBy(*by, *[F.floor(F.col(c) / PARTS ** (DEEPEST - level)) for c in ("tx", "ty")]).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        if (held.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0) <= POINTS:
+            break
+        level += 1
+    drop(places)
+    return level
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, keys: Sequence[str] = (), levels: int | None = None) -> DataFrame:
     """Each point (keys, point_id, x, y) on the nearest of its keys' segments (segment, x1, y1, x2, y2): (keys, point_id, segment, t, distance).
 
@@ -47,11 +72,8 @@ def nearest_segment(points: DataFrame, segments: DataFrame, keys: Sequence[str]
     if levels is None:
         many = box.agg(F.max("n")).first()[0] or 0
         most = segments.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        levels = 0 if most <= SEGMENTS else max(0, math.ceil(math.log(max(1, many / POINTS), PARTS * PARTS)))
-    placed = points.join(box, by).drop("n")
-    parts = PARTS**levels
-    at = lambda v, v0: F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((v - v0) * parts / F.when(F.col("side") > 0, F.col("side")).otherwise(1.0)))).cast("int")
-    placed = placed.withColumns({"tx": at(F.col("x"), F.col("x0")), "ty": at(F.col("y"), F.col("y0"))})
+        levels = 0 if most <= SEGMENTS else levels_needed(points.join(box, by), by, many)
+    placed = points.join(box, by).drop("n").withColumns({f"t{c}": tile(F.col(c), F.col(f"{c}0"), PARTS**levels) for c in "xy"})
     left = segments
     if levels:
         tiles = cut(placed.groupBy(*by, "tx", "ty", "x0", "y0", "side").agg(F.count(F.lit(1)).alias("n")))
@@ -63,14 +85,15 @@ def nearest_segment(points: DataFrame, segments: DataFrame, keys: Sequence[str]
             down = lambda c, d: F.floor(F.col(c) / d).cast("int")
             some = tiles.select(*by, down("tx", parent).alias("px"), down("ty", parent).alias("py"), down("tx", coarse).alias("tx"), down("ty", coarse).alias("ty"), "x0", "y0", "side").distinct()
             some = some.select(*by, "px", "py", "tx", "ty", (F.col("x0") + (F.col("tx") + 0.5) * size).alias("x"), (F.col("y0") + (F.col("ty") + 0.5) * size).alias("y"), (size * math.sqrt(0.5)).alias("h"))
-            met = some.join(left.withColumnsRenamed({"tx": "px", "ty": "py"}), [*by, "px", "py"])
+            met = meet(some, left.withColumnsRenamed({"tx": "px", "ty": "py"}), [*by, "px", "py"])
             met = met.withColumn("d", distance(F.col("x"), F.col("y"), share(F.col("x"), F.col("y"))))
+            met = met.withColumn("least", F.min("d").over(Window.partitionBy(*by, "px", "py", "tx", "ty")))
             # The slack covers rounding of centres and distances, which only lets more through.
-            nearest = met.groupBy(*by, "tx", "ty").agg(F.min("d").alias("least"))
             reach = (F.col("least") + 2 * F.col("h")) * (1 + 1e-9) + 1e-9 * (F.abs("x") + F.abs("y"))
-            left = cut(met.join(nearest, [*by, "tx", "ty"]).filter(F.col("d") <= reach).select(*by, "tx", "ty", "segment", "x1", "y1", "x2", "y2"))
+            left = cut(met.filter(F.col("d") <= reach).select(*by, "tx", "ty", "segment", "x1", "y1", "x2", "y2"))
             steps.append(left)
-    rows = placed.join(left, [*by, "tx", "ty"] if levels else by).withColumn("t", share(F.col("x"), F.col("y")))
+    rows = meet(placed, left, [*by, "tx", "ty"]) if levels else placed.join(left, by)
+    rows = rows.withColumn("t", share(F.col("x"), F.col("y")))
     best = rows.groupBy(*by, "point_id").agg(F.min(F.struct(distance(F.col("x"), F.col("y"), F.col("t")).alias("distance"), "segment", "t")).alias("b"))
     out = cut(best.select(*keys, "point_id", "b.segment", "b.t", "b.distance"))
     drop(box, *steps)
@@ -131,7 +154,7 @@ def flood_raster(cells: DataFrame, sections: DataFrame, keys: Sequence[str]) ->
     keys = list(keys)
     segments = cut(segments_of(sections, keys, "station", ["wse"]))
     at = cells.select(*keys, F.struct("row", "col", "z").alias("point_id"), "x", "y")
-    near = nearest_segment(at, segments, keys).join(segments.select(*keys, "segment", "wse", "wse_2"), [*keys, "segment"])
+    near = meet(nearest_segment(at, segments, keys), segments.select(*keys, "segment", "wse", "wse_2"), [*keys, "segment"])
     wse = F.col("wse") + F.col("t") * (F.col("wse_2") - F.col("wse"))
     depth = F.when(F.col("point_id.z").isNotNull(), F.greatest(F.lit(0.0), wse - F.col("point_id.z")))
     return near.select(*keys, "point_id.row", "point_id.col", wse.alias("wse"), depth.alias("depth"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from riverframe.operators import channels, geometry, terrain
+from riverframe.operators import axes, channels, geometry, terrain
 
 
 def ground(spark, rows=40, cols=30, seed=3):
@@ -73,3 +73,18 @@ def test_points_below_many_triangles(spark, monkeypatch):
     monkeypatch.setattr(geometry, "cut", lambda df: tried.append(df.count()) or df)
     assert sorted(map(tuple, geometry.locate(points, tri, 4.0).collect())) == whole
     assert len(tried) > 3 and 0 < len(whole) < 300
+
+
+def test_points_in_a_strip_have_small_tiles(spark, monkeypatch):
+    """A long strip fills few tiles of its square box; these are divided until they are small, so a point meets few segments."""
+    seen = []
+    monkeypatch.setattr(axes, "cut", lambda df: seen.append(df.localCheckpoint()) or seen[-1])
+    monkeypatch.setattr(axes, "drop", lambda *t: None)
+    i = F.col("id")
+    points = spark.range(16384).select(i.alias("point_id"), (i % 4).cast("double").alias("x"), F.floor(i / 4).cast("double").alias("y"))
+    segments = spark.range(1024).select(i.alias("segment"), F.lit(1.5).alias("x1"), (4.0 * i).alias("y1"), F.lit(1.5).alias("x2"), (4.0 * i + 3).alias("y2"))
+    got = axes.nearest_segment(points, segments).filter("distance > 1.5 + 1e-9 or segment <> floor(floor(point_id / 4) / 4)")
+    assert got.count() == 0 and seen[-1].count() == 16384
+    left = [t for t in seen if "segment" in t.columns and "tx" in t.columns][-1].groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("segments"))
+    tiles = next(t for t in seen if {"tx", "ty", "n"} <= set(t.columns))
+    assert tiles.join(left, ["tx", "ty"]).agg(F.sum(F.col("n") * F.col("segments"))).first()[0] < 20 * 16384
