@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from riverframe.functions import river
 from riverframe.operators import axes, channels, geometry, terrain
 
 
@@ -88,3 +89,16 @@ def test_points_in_a_strip_have_small_tiles(spark, monkeypatch):
     left = [t for t in seen if "segment" in t.columns and "tx" in t.columns][-1].groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("segments"))
     tiles = next(t for t in seen if {"tx", "ty", "n"} <= set(t.columns))
     assert tiles.join(left, ["tx", "ty"]).agg(F.sum(F.col("n") * F.col("segments"))).first()[0] < 20 * 16384
+
+
+def test_normal_depth_needs_no_bisection(spark):
+    """Ordinary values take six cheap steps (none of the halvings is left to do), and odd ones give what halving gives."""
+    usual = [(q, b, n, j) for q in (1e-9, 0.3, 7.0, 90.0, 4000.0) for b in (0.5, 5.0, 34.0, 900.0) for n in (0.011, 0.035) for j in (1e-5, 0.0085, 0.3)]
+    odd = [(q, 10.0, 0.03, 0.001) for q in (0.0, -1.0, 1e9, None, float("nan"), float("inf"))] + [(5.0, b, 0.03, j) for b, j in ((0.0, 0.001), (None, 0.001), (4.0, 0.0), (4.0, -0.1), (4.0, None))]
+    cols = [F.col(c) for c in "qbnj"]
+    halved = river.bisect(F.lit(0.0), F.lit(200.0), lambda y: river.manning(F.col("b") * y, F.col("b") * y / (F.col("b") + 2 * y), F.col("n"), F.col("j")) < F.col("q"))
+    rows = spark.createDataFrame(usual + odd, "q double, b double, n double, j double")
+    got = rows.select("q", halved.alias("want"), river.rectangular_normal_depth(*cols).alias("y"), river.rectangular_normal_depth(*cols, steps=0).alias("y0")).collect()
+    assert all(abs(r.y - r.want) <= 1e-12 * max(1.0, r.want) for r in got)
+    few = [r for r in got[: len(usual)] if r.want < 199]
+    assert len(few) > 80 and all(r.y0 == r.y for r in few)
