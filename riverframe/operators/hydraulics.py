@@ -44,30 +44,54 @@ def transport_gradient(sections: DataFrame, keys: Sequence[str], order: str, spa
 # --- kernels on sections: one, or many at once as rows of padded arrays ---------------------------------------
 
 
-def wetted(s: np.ndarray, z: np.ndarray, level) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(area, perimeter, width, hydrostatic moment) of profiles (last axis: points) below their levels. A repeated last point adds nothing."""
+def wetted(s: np.ndarray, z: np.ndarray, level, perimeter: bool = True, moment: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray | None]:
+    """(area, perimeter, width, hydrostatic moment) of profiles (last axis: points) below their levels. A repeated last point adds nothing.
+
+    The perimeter and the moment are None where they are not asked for."""
     level = np.asarray(level)[..., None]
     a, c, ds = level - z[..., :-1], level - z[..., 1:], np.diff(s)
     both, none = (a > 0) & (c > 0), (a <= 0) & (c <= 0)
     with np.errstate(all="ignore"):
         wet = np.where(both, ds, np.where(none, 0.0, ds * np.maximum(a, c) / np.abs(a - c)))
     ha, hc = np.maximum(a, 0), np.maximum(c, 0)
-    side = np.where(none, 0.0, np.hypot(wet, ha - hc))
-    moment = wet * (ha * ha + ha * hc + hc * hc) / 6
-    return ((ha + hc) / 2 * wet).sum(-1), side.sum(-1), wet.sum(-1), moment.sum(-1)
+    side = np.where(none, 0.0, np.sqrt(wet * wet + (ha - hc) * (ha - hc))).sum(-1) if perimeter else None
+    force = (wet * (ha * ha + ha * hc + hc * hc) / 6).sum(-1) if moment else None
+    return ((ha + hc) / 2 * wet).sum(-1), side, wet.sum(-1), force
 
 
 def root(f, lo, hi, steps: int = 80):
-    """Bisection on an increasing f, for all rows at once."""
+    """Root of an increasing f between lo and hi, for all rows at once: inverse quadratic steps where they are safe, halving where not (Chandrupatla).
+
+    As halving does, it ends between a place where f is below 0 and one where it is not, or at the end of the interval
+    on the other side of which that change would lie. Rows that have settled stay as they are; `steps` bounds the rounds."""
+    lo, hi = np.broadcast_arrays(np.asarray(lo, float), np.asarray(hi, float))
+    # a is the latest place, b the last one on the other side of the root, c the one before a.
+    a, b, fa, fb = hi.copy(), lo.copy(), np.asarray(f(hi), float), np.asarray(f(lo), float)
+    outside = np.where(fb < 0, np.where(fa < 0, hi, np.nan), lo)
+    c, fc = b, fb
+    t = np.full(a.shape, 0.5)
     for _ in range(steps):
-        mid = (lo + hi) / 2
-        small = f(mid) < 0
-        lo, hi = np.where(small, mid, lo), np.where(small, hi, mid)
-    return (lo + hi) / 2
+        # Two spacings of doubles: no narrower interval has a place within.
+        wide = np.isnan(outside) & (np.abs(b - a) > 2 * np.spacing(np.maximum(np.abs(a), np.abs(b)))) & (fa != 0)
+        if not wide.any():
+            break
+        x = np.where(wide, a + t * (b - a), a)
+        fx = np.where(wide, f(x), fa)
+        same = (fx < 0) == (fa < 0)
+        c, fc = np.where(same, a, b), np.where(same, fa, fb)
+        b, fb = np.where(same, b, a), np.where(same, fb, fa)
+        a, fa = x, fx
+        with np.errstate(all="ignore"):
+            xi, phi = (a - b) / (c - b), (fa - fb) / (fc - fb)
+            quadratic = fa / (fb - fa) * fc / (fb - fc) + (c - a) / (b - a) * fa / (fc - fa) * fb / (fc - fb)
+            safe = (phi * phi < xi) & ((1 - phi) * (1 - phi) < 1 - xi) & np.isfinite(quadratic)
+            least = np.minimum(0.5, 2 * np.spacing(np.maximum(np.abs(a), np.abs(b))) / np.abs(b - a))
+        t = np.where(safe, np.clip(quadratic, least, 1 - least), 0.5)
+    return np.where(np.isnan(outside), np.where(np.abs(fa) <= np.abs(fb), a, b), outside)[()]
 
 
 def manning_flow(s: np.ndarray, z: np.ndarray, level, n: float, slope: float):
-    a, p, _, _ = wetted(s, z, level)
+    a, p, _, _ = wetted(s, z, level, moment=False)
     with np.errstate(all="ignore"):
         return np.where((a > 0) & (p > 0), a * (a / p) ** (2 / 3) * np.sqrt(slope) / n, 0.0)[()]
 
@@ -85,9 +109,9 @@ def normal_level(s, z, flow: float, n: float, slope: float):
 
 def critical_level(s, z, flow: float):
     def f(w):
-        a, _, b, _ = wetted(s, z, w)
-        with np.errstate(all="ignore"):
-            return np.where(a > 1e-9, -(flow * flow * b / (G * a**3) - 1), -1e9)
+        # The area that flows critically with this width: nearly a line in w, unlike the square of the Froude number.
+        a, _, b, _ = wetted(s, z, w, perimeter=False, moment=False)
+        return np.where(a > 1e-9, a - np.cbrt(flow * flow * b / G), -1e9)
 
     return root(f, z.min(-1) + 1e-6, z.min(-1) + 100.0, 90)
 
@@ -107,7 +131,7 @@ def march(x: np.ndarray, s: np.ndarray, z: np.ndarray, counts: np.ndarray, flow:
     levels[:, 0] = start
 
     def head(s, z, w):
-        a, p, _, _ = wetted(s, z, w)
+        a, p, _, _ = wetted(s, z, w, moment=False)
         v = flow / np.maximum(a, 1e-9)
         return v * v / (2 * G), (flow * n / (np.maximum(a, 1e-9) * (np.maximum(a, 1e-9) / np.maximum(p, 1e-9)) ** (2 / 3))) ** 2, w + v * v / (2 * G)
 
@@ -149,7 +173,7 @@ def profiles(x: np.ndarray, s: np.ndarray, z: np.ndarray, counts: np.ndarray, fl
         w = np.where(specific_force(s, z, flow, sub) >= specific_force(s, z, flow, sup), sub, sup)
     else:
         w = sub if regime == "sub" else sup
-    a, _, b, _ = wetted(s, z, w)
+    a, _, b, _ = wetted(s, z, w, perimeter=False, moment=False)
     return w, z.min(-1), a, b
 
 

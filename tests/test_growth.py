@@ -1,11 +1,13 @@
 """Steps that must not grow faster than their tables: what is joined, sent through the driver or laid out, and the results of it."""
 
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from riverframe.functions import river
-from riverframe.operators import axes, channels, geometry, terrain
+from riverframe.operators import axes, channels, geometry, hydraulics, terrain
 
 
 def ground(spark, rows=40, cols=30, seed=3):
@@ -102,3 +104,32 @@ def test_normal_depth_needs_no_bisection(spark):
     assert all(abs(r.y - r.want) <= 1e-12 * max(1.0, r.want) for r in got)
     few = [r for r in got[: len(usual)] if r.want < 199]
     assert len(few) > 80 and all(r.y0 == r.y for r in few)
+
+
+def test_backwater_looks_at_a_section_few_times(monkeypatch):
+    """Levels need a few looks at each section, not one for every halving."""
+    looks, real = [], hydraulics.wetted
+    monkeypatch.setattr(hydraulics, "wetted", lambda *a, **k: looks.append(1) or real(*a, **k))
+    rng = np.random.default_rng(2)
+    counts = rng.integers(1, 8, 200)
+    x = np.cumsum(rng.uniform(20, 300, (200, 7)), 1)
+    s, z = np.sort(rng.uniform(0, 30, (200, 7, 5)), -1), rng.uniform(0, 3, (200, 7, 5))
+    z[..., [0, -1]] += 40
+    for regime in ("sub", "super"):
+        looks.clear()
+        w, low, area, _ = hydraulics.profiles(x, s, z, counts, 50.0, 0.035, 0.002, 0.1, 0.3, regime)
+        assert len(w) == counts.sum() and (area > 0).all() and (w > low).all()
+        assert len(looks) < 7 * 45
+
+
+def test_roots_are_those_of_halving():
+    def halved(f, lo, hi):
+        for _ in range(100):
+            mid = (lo + hi) / 2
+            lo, hi = np.where(f(mid) < 0, mid, lo), np.where(f(mid) < 0, hi, mid)
+        return (lo + hi) / 2
+
+    c = np.array([-3.0, -1.0, -1e-9, 0.0, 1e-7, 0.3, 1.0, 7.0, 99.0, 1e6, math.nan])
+    lo, hi = np.full(c.shape, -1.0), np.full(c.shape, 100.0)
+    for f in (lambda w: w - c, lambda w: np.where(w < c, -1e9, w - c + 5), lambda w: np.sign(w - c) * np.abs(w - c) ** 0.2, lambda w: (w - c) ** 3, lambda w: np.where(w > c, 0.1, 3.0) * (w - c), lambda w: np.arctan(50 * (w - c))):
+        assert np.allclose(hydraulics.root(f, lo, hi), halved(f, lo, hi), rtol=1e-12, atol=1e-12)
