@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop, keyed, let, size_at_most, table
+from .common import documents, drop, keyed, let, measured, size_at_most, table
 
 WORDS, NUM, DEN, MIN_WORDS = 5, 80, 100, 1
 BUCKET_BITS, LOW_BITS = 14, 49
@@ -147,7 +147,8 @@ def matched(rows: DataFrame, pairs: DataFrame, key: str, text: str, unique: bool
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later matches taken out of the text; with counts also n_lines and n_removed."""
     rows, _, unique = keyed(docs, id_col, text_col)
-    found = later_matches(rows.filter(F.col("__key").isNotNull()), "__key", text_col, unique, num, den, min_words)
+    with measured(docs.sparkSession, BROADCAST_MOST):
+        found = later_matches(rows.filter(F.col("__key").isNotNull()), "__key", text_col, unique, num, den, min_words)
     gone = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__gone"))
     if size_at_most(gone, 16 + 4 * F.size("__gone"), BROADCAST_MOST):
         gone = F.broadcast(gone)

@@ -79,3 +79,12 @@ def test_no_python_in_the_plan(spark):
     lines = line_dedup.line_words(docs, "doc_id", "text", 1)
     plan += line_dedup.signed_lines(lines, line_dedup.rarity(lines), 80, 100)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_tables_are_not_broadcast_by_guess(spark, monkeypatch):
+    """Postings and tokens of small files are many times their size: what is not measured is shuffled."""
+    plans = {}
+    real = line_dedup.table
+    monkeypatch.setattr(line_dedup, "table", lambda df, name, *a, **k: plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name, *a, **k))
+    line_dedup.dedup_lines(spark.createDataFrame(corpus(1), "doc_id bigint, text string"))
+    assert not any("Broadcast" in p for name in ("postings", "pairs", "matched", "gone") for p in plans[name])
